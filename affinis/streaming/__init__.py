@@ -1,0 +1 @@
+"""Reserved: every supported operator is a batch operator."""
