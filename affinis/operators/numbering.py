@@ -62,8 +62,9 @@ def reindex(
     return numbered.select("user_id", "item_id", "rating", "ts"), users, items
 
 
-def compose_id_maps(first: DataFrame, second: DataFrame, raw: str, number: str) -> DataFrame:
-    """Follow raw -> old number -> new number. Both maps are one-to-one, so no key is heavy."""
-    renamed = second.select(F.col(raw).alias("_old"), F.col(number).alias("_new"))
-    joined = first.join(renamed, F.col(number) == F.col("_old"))
-    return joined.select(raw, F.col("_new").alias(number))
+def compose_id_maps(first: DataFrame, second: DataFrame, raw: str, number: str, new_number: str) -> DataFrame:
+    """(raw, new_number) from (raw, number) and (number, new_number).
+
+    Both maps are one-to-one, so no key is heavy.
+    """
+    return first.join(second, number).select(raw, new_number)
