@@ -75,10 +75,13 @@ def skew_join(
     counted size of the lookup where the caller knows it; a small one is
     broadcast, which leaves the facts where they are.
     """
+    columns = list(facts.columns)
+    if how in ("inner", "left"):
+        columns += [name for name in lookup.columns if name != key]
     if lookup_rows is not None and lookup_rows <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(lookup), key, how)
+        return facts.join(F.broadcast(lookup), key, how).select(columns)
     if heavy is None:
-        return facts.join(lookup, key, how)
+        return facts.join(lookup, key, how).select(columns)
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1))
     fanned = lookup.join(F.broadcast(heavy), key, "left").withColumn("slice", copies).drop("slices")
-    return with_slice(facts, heavy, key).join(fanned, [key, "slice"], how).drop("slice")
+    return with_slice(facts, heavy, key).join(fanned, [key, "slice"], how).select(columns)

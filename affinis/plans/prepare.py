@@ -65,9 +65,9 @@ def prepare(
     item_map = number_ids(universe, "item_raw", "item_id")
     numbered = apply_id_map(pairs, user_map, "user_raw", rows_per_slice, table_rows)
     numbered = cut_lineage(apply_id_map(numbered, item_map, "item_raw", rows_per_slice, table_rows))
-    test = last_items(numbered)
+    test = cut_lineage(last_items(numbered))
     return Prepared(
-        train=without_test(numbered, test),
+        train=cut_lineage(without_test(numbered, test)),
         test=test,
         full=numbered.select("user_id", "item_id"),
         user_map=user_map,

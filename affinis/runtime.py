@@ -30,9 +30,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and forget how it was made."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the checkpoint folder and continue from the table.
+
+    A table rather than ``DataFrame.checkpoint``: later steps read only the
+    columns they use, counts come from file footers, and the optimizer sees the
+    true size when it picks join strategies.
+    """
+    return GenerationStore(df.sparkSession).write("once", df)
 
 
 class GenerationStore:

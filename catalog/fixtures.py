@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.operators.interactions import row_counts
+from affinis.operators.skew import heavy_keys, skew_join
 from affinis.plans.prepare import Prepared, prepare
 from affinis.sources.interactions import scan_embedded_json, scan_interactions
 
@@ -13,7 +15,9 @@ def purchases(spark: SparkSession, folder: str) -> DataFrame:
     """Customers buying parts; the quantity serves as the rating."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity")
     orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    degrees = row_counts(lines, "l_orderkey")
+    heavy = heavy_keys(degrees, "l_orderkey", table_rows=lines.count())
+    joined = skew_join(lines, orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey", "inner", heavy)
     return scan_interactions(joined, "o_custkey", "l_partkey", "l_quantity", "o_orderdate")
 
 
