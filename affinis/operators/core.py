@@ -10,11 +10,12 @@ from affinis.operators.skew import ROWS_PER_SLICE, heavy_keys, skew_join
 from affinis.runtime import GenerationStore
 
 
-class _Side:
+class Side:
     """Remaining row counts of one side, and the step in which a key fell out.
 
     ``rows`` and ``pairs`` keep the counts at the start, by which joins of the
-    row and pair tables are sliced; ``n`` is what remains.
+    row and pair tables are sliced; ``n`` is what remains. ``fallen`` counts the
+    keys that fell out in the step last written.
     """
 
     def __init__(
@@ -31,9 +32,12 @@ class _Side:
         state = degrees.select(
             key, "n", F.col("n").alias("rows"), "pairs", F.when(F.col("n") < minimum, F.lit(0)).alias("dropped_in")
         )
-        self.state = store.write(f"core-{key}", state)
+        self.state, self.fallen = self._write(state, 0)
         self.heavy = self.heavy_by("pairs", table_rows)
 
+    def _write(self, state: DataFrame, step: int) -> tuple[DataFrame, int]:
+        return self._store.write_counting(f"core-{self.key}", state, F.col("dropped_in") == step)
+
     def heavy_by(self, column: str, table_rows: int | None = None) -> DataFrame | None:
         return heavy_keys(self.state, self.key, column, self._rows_per_slice, table_rows)
 
@@ -41,7 +45,8 @@ class _Side:
         return self.state.filter(F.col("dropped_in") == step).select(self.key)
 
     def survivors(self) -> DataFrame:
-        return self.state.filter(F.col("dropped_in").isNull()).select(self.key)
+        """Keys of the core. A side without a minimum never drops keys, but may lose all their rows."""
+        return self.state.filter(F.col("dropped_in").isNull() & (F.col("n") > 0)).select(self.key)
 
     def subtract(self, losses: DataFrame, step: int) -> None:
         """Lower the counts by ``losses`` (key, lost) and mark who falls below the minimum."""
@@ -50,10 +55,10 @@ class _Side:
         updated = self.state.join(losses, self.key, "left").select(
             self.key, left.alias("n"), "rows", "pairs", mark.alias("dropped_in")
         )
-        self.state = self._store.write(f"core-{self.key}", updated)
+        self.state, self.fallen = self._write(updated, step)
 
 
-def _peel(
+def peel(
     pairs: DataFrame,
     user: str,
     item: str,
@@ -61,7 +66,7 @@ def _peel(
     min_item: int,
     rows_per_slice: int,
     table_rows: int | None = None,
-) -> tuple[_Side, _Side]:
+) -> tuple[Side, Side]:
     """Peel both sides to the fixpoint.
 
     Only degree tables change. A step reads the pairs of the keys that fell out
@@ -70,41 +75,23 @@ def _peel(
     the pairs.
     """
     store = GenerationStore(pairs.sparkSession)
-    users = _Side(pairs, user, min_user, store, rows_per_slice, table_rows)
-    items = _Side(pairs, item, min_item, store, rows_per_slice, table_rows)
+    users = Side(pairs, user, min_user, store, rows_per_slice, table_rows)
+    items = Side(pairs, item, min_item, store, rows_per_slice, table_rows)
     step = 0
     while True:
         losses = []
         for source, target in ((users, items), (items, users)):
-            fallen = source.dropped(step)
-            count = fallen.count()
-            if count:
-                lost = skew_join(pairs, fallen, source.key, "left_semi", source.heavy, count)
+            if source.fallen:
+                lost = skew_join(pairs, source.dropped(step), source.key, "left_semi", source.heavy, source.fallen)
                 losses.append((target, lost.groupBy(target.key).agg(F.sum("n").alias("lost"))))
         if not losses:
             return users, items
         step += 1
+        users.fallen = items.fallen = 0
         for target, lost in losses:
             target.subtract(lost, step)
 
 
-def core_pairs(
-    pairs: DataFrame,
-    min_user: int = 10,
-    min_item: int = 10,
-    user: str = "user_raw",
-    item: str = "item_raw",
-    rows_per_slice: int = ROWS_PER_SLICE,
-    table_rows: int | None = None,
-) -> DataFrame:
-    """Pairs of the core, from a table with the row count of each pair in ``n``."""
-    if min_user <= 0 and min_item <= 0:
-        return pairs
-    users, items = _peel(pairs, user, item, min_user, min_item, rows_per_slice, table_rows)
-    kept = skew_join(pairs, users.survivors(), user, "left_semi", users.heavy)
-    return skew_join(kept, items.survivors(), item, "left_semi", items.heavy)
-
-
 def core_filter(
     rows: DataFrame,
     min_user: int = 5,
@@ -122,7 +109,7 @@ def core_filter(
     if min_user <= 0 and min_item <= 0:
         return rows
     pairs = pair_counts(rows, user, item).persist()
-    users, items = _peel(pairs, user, item, min_user, min_item, rows_per_slice)
+    users, items = peel(pairs, user, item, min_user, min_item, rows_per_slice)
     kept = skew_join(rows, users.survivors(), user, "left_semi", users.heavy_by("rows"))
     result = skew_join(kept, items.survivors(), item, "left_semi", items.heavy_by("rows"))
     pairs.unpersist()

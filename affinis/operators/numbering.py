@@ -14,14 +14,19 @@ _ROW_BITS = 33
 
 
 def number_ids(rows: DataFrame, raw: str, number: str) -> DataFrame:
-    """(raw, number): rank of each distinct ``raw`` value, starting at 0.
+    """(raw, number): rank of each distinct ``raw`` value, starting at 0."""
+    return count_and_number(rows.select(raw).distinct(), raw, number)[0]
 
-    Distinct values are range-partitioned and sorted, which numbers them inside
+
+def count_and_number(distinct_values: DataFrame, raw: str, number: str) -> tuple[DataFrame, int]:
+    """Number the values of a column without repeats; returns the map and its size.
+
+    The values are range-partitioned and sorted, which numbers them inside
     their partition; one count per partition then gives the offsets. Nothing is
     sorted or counted in one task. The sorted table is cut from its lineage
     because range bounds are sampled and could move if it were recomputed.
     """
-    ordered = rows.select(raw).distinct().orderBy(raw)
+    ordered = distinct_values.select(raw).orderBy(raw)
     place = cut_lineage(ordered.withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", _ROW_BITS)
     sizes = place.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size")).orderBy("_part").collect()
@@ -32,11 +37,12 @@ def number_ids(rows: DataFrame, raw: str, number: str) -> DataFrame:
     # One row per shuffle partition, so the broadcast is bounded by the partition count.
     offset_table = place.sparkSession.createDataFrame(offsets, "_part long, _offset long")
     within = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (
+    id_map = (
         place.withColumn("_part", part)
         .join(F.broadcast(offset_table), "_part")
         .select(raw, (F.col("_offset") + within).alias(number))
     )
+    return id_map, total
 
 
 def apply_id_map(

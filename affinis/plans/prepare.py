@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinis.operators.core import core_pairs
-from affinis.operators.interactions import binarize, pair_counts
-from affinis.operators.numbering import apply_id_map, number_ids
+from affinis.operators.core import peel
+from affinis.operators.interactions import binarize, pair_counts, row_counts
+from affinis.operators.numbering import apply_id_map, count_and_number
 from affinis.operators.sampling import subsample_users
-from affinis.operators.skew import ROWS_PER_SLICE
+from affinis.operators.skew import ROWS_PER_SLICE, heavy_keys, skew_join
 from affinis.operators.split import last_items, without_test
-from affinis.runtime import cut_lineage
+from affinis.runtime import cut_lineage, cut_lineage_counting
 from affinis.sources.interactions import scan_reviews
 
 
@@ -42,28 +42,34 @@ def prepare(
     """Threshold, core filter, optional user sample, numbering and leave-one-out split.
 
     The rows are read and shuffled once, combined to one row per pair with its
-    count and latest time; every later step works on that table. Identifiers are
-    numbered once, at the end: numbering keeps the order, so this equals
-    renumbering after each step. Without any filter or sample the matrix also
-    has rows and columns for identifiers that only occur below the threshold.
+    count and latest time; every later step works on that table. The core is
+    found from degree tables alone, and the joins that number the pairs drop
+    those outside it. Identifiers are numbered once, at the end: numbering keeps
+    the order, so this equals renumbering after each step. Without any filter or
+    sample the matrix also has rows and columns for identifiers that only occur
+    below the threshold.
     """
-    pairs = cut_lineage(pair_counts(binarize(interactions, rating_threshold)))
-    table_rows = pairs.count()
+    pairs, table_rows = cut_lineage_counting(pair_counts(binarize(interactions, rating_threshold)))
     filtered = min_user_interactions > 0 or min_item_interactions > 0
+    sampled = subsample_frac < 1.0
     if filtered:
-        pairs = core_pairs(
-            pairs,
-            min_user_interactions,
-            min_item_interactions,
-            rows_per_slice=rows_per_slice,
-            table_rows=table_rows,
+        sides = peel(
+            pairs, "user_raw", "item_raw", min_user_interactions, min_item_interactions, rows_per_slice, table_rows
         )
-    if subsample_frac < 1.0:
-        pairs = subsample_users(pairs, subsample_frac, seed)
-    universe = pairs if filtered or subsample_frac < 1.0 else interactions
-    user_map = number_ids(universe, "user_raw", "user_id")
-    item_map = number_ids(universe, "item_raw", "item_id")
+        users, items = (side.survivors() for side in sides)
+    else:
+        universe = pairs if sampled else interactions
+        users, items = (universe.select(raw).distinct() for raw in ("user_raw", "item_raw"))
+    if sampled:
+        users = subsample_users(users, subsample_frac, seed)
+    user_map, num_users = count_and_number(users, "user_raw", "user_id")
     numbered = apply_id_map(pairs, user_map, "user_raw", rows_per_slice, table_rows)
+    if sampled:
+        # The sample may leave items of the core without any row.
+        heavy = heavy_keys(row_counts(numbered, "item_raw"), "item_raw", "n", rows_per_slice, table_rows)
+        numbered = cut_lineage(skew_join(numbered, items, "item_raw", "left_semi", heavy))
+        items = numbered.select("item_raw").distinct()
+    item_map, num_items = count_and_number(items, "item_raw", "item_id")
     numbered = cut_lineage(apply_id_map(numbered, item_map, "item_raw", rows_per_slice, table_rows))
     test = cut_lineage(last_items(numbered))
     return Prepared(
@@ -72,8 +78,8 @@ def prepare(
         full=numbered.select("user_id", "item_id"),
         user_map=user_map,
         item_map=item_map,
-        num_users=user_map.count(),
-        num_items=item_map.count(),
+        num_users=num_users,
+        num_items=num_items,
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -39,6 +40,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return GenerationStore(df.sparkSession).write("once", df)
 
 
+def cut_lineage_counting(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows written."""
+    return GenerationStore(df.sparkSession).write_counting("once", df, F.lit(True))
+
+
 class GenerationStore:
     """Tables rewritten once per step of an iterative job.
 
@@ -60,3 +66,9 @@ class GenerationStore:
         schema = schema or df.schema
         df.write.mode("overwrite").option("parquet.enable.dictionary", "false").parquet(path)
         return self._spark.read.schema(schema).parquet(path)
+
+    def write_counting(self, name: str, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+        """Write, and count the rows that fulfil ``condition`` in the same pass."""
+        watch = Observation()
+        table = self.write(name, df.observe(watch, F.count_if(condition).alias("rows")))
+        return table, watch.get.get("rows") or 0
