@@ -37,10 +37,14 @@ class Layout:
         self.lists.unpersist()
 
 
+def pairs_per_block(rank: int, block_bytes: int = BLOCK_BYTES) -> int:
+    """Pairs that fit in a block when each needs a factor row of its own."""
+    return max(1, block_bytes // (8 * (rank + 1)))
+
+
 def block_count(pairs: int, rank: int, parallelism: int, block_bytes: int = BLOCK_BYTES) -> int:
     """Enough blocks for the memory bound and for every core."""
-    bytes_per_pair = 8 * (rank + 1)
-    return max(1, parallelism, math.ceil(pairs * bytes_per_pair / block_bytes))
+    return max(1, parallelism, math.ceil(pairs / pairs_per_block(rank, block_bytes)))
 
 
 def build_layout(
@@ -51,11 +55,15 @@ def build_layout(
     rows_per_slice: int = ROWS_PER_SLICE,
     table_rows: int | None = None,
 ) -> Layout:
-    """Lay the train pairs out by ``by``; one shuffle of the pairs."""
+    """Lay the distinct train pairs out by ``by``; one shuffle of the pairs.
+
+    The block of a pair depends on its two numbers only, so blocks that are
+    recomputed after a loss still fit the routes taken from them.
+    """
     pairs = train.select(F.col(by).alias("id"), F.col(of).alias("neighbour"))
     heavy = heavy_keys(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "n", rows_per_slice, table_rows)
     partitions = min(blocks, MAX_PARTITIONS)
-    sliced = with_slice(pairs, heavy, "id")
+    sliced = with_slice(pairs, heavy, "id", repeats=False)
     if heavy is None:
         sliced = sliced.withColumn("heavy", F.lit(False))
     else:

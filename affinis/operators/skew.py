@@ -3,8 +3,8 @@
 A key is *heavy* when it has more than ``limit`` rows, where ``limit`` is at
 least ``total / MAX_HEAVY_KEYS``. There can be no more than MAX_HEAVY_KEYS such
 keys whatever the data, so the table of heavy keys is safe to broadcast. Rows of
-a heavy key are spread over ``ceil(rows / limit)`` slices and the other side's
-row is repeated once per slice.
+a heavy key are spread over slices of about ``rows_per_slice`` rows and the
+other side's row is repeated once per slice.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from affinis.runtime import cut_lineage
 
-# Upper bound on the rows of a broadcast heavy-key table.
-MAX_HEAVY_KEYS = 10_000
+# Upper bound on the rows of a broadcast heavy-key table (a key and a number each).
+MAX_HEAVY_KEYS = 500_000
 # Below this many rows a key never needs slicing.
 ROWS_PER_SLICE = 1_000_000
 # A lookup of counted size is broadcast up to this many rows, shuffled beyond.
@@ -43,22 +43,23 @@ def heavy_keys(
     limit = max(rows_per_slice, math.ceil((total or 0) / MAX_HEAVY_KEYS))
     if largest is None or largest <= limit:
         return None
-    slices = F.ceil(F.col(rows) / F.lit(float(limit))).cast("int")
+    slices = F.ceil(F.col(rows) / F.lit(float(rows_per_slice))).cast("int")
     return cut_lineage(degrees.filter(F.col(rows) > limit).select(key, slices.alias("slices")))
 
 
-def with_slice(facts: DataFrame, heavy: DataFrame | None, key: str) -> DataFrame:
+def with_slice(facts: DataFrame, heavy: DataFrame | None, key: str, repeats: bool = True) -> DataFrame:
     """Add a ``slice`` number: 0 for light keys, spread evenly for heavy ones.
 
-    The partition number takes part in the hash so that exact copies of one row
-    spread as well; a retried task sees the same partition number again.
+    Rows spread by a hash of their columns. If the table may hold exact copies
+    (``repeats``), the partition number joins the hash so that copies spread
+    too; a retried task sees the same partition number again.
     """
     if heavy is None:
         return facts.withColumn("slice", F.lit(0))
-    spread = F.xxhash64(*[F.col(c) for c in facts.columns], F.spark_partition_id())
+    seeds = [F.col(c) for c in facts.columns] + ([F.spark_partition_id()] if repeats else [])
     tagged = facts.join(F.broadcast(heavy), key, "left")
-    sliced = F.when(F.col("slices").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.col("slices")).cast("int"))
-    return tagged.withColumn("slice", sliced).drop("slices")
+    spread = F.pmod(F.xxhash64(*seeds), F.col("slices")).cast("int")
+    return tagged.withColumn("slice", F.when(F.col("slices").isNull(), F.lit(0)).otherwise(spread)).drop("slices")
 
 
 def skew_join(
