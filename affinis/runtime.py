@@ -54,8 +54,10 @@ class GenerationStore:
     behind the last written table.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, compression: str = "snappy"):
         self._spark = spark
+        # Factor vectors hardly compress; a caller writing those can turn it off.
+        self._options = {"compression": compression, "parquet.enable.dictionary": "false"}
         self._root = f"{checkpoint_root(spark)}/generations-{uuid.uuid4().hex}"
         self._turn: dict[str, int] = {}
 
@@ -64,7 +66,7 @@ class GenerationStore:
         self._turn[name] = turn + 1
         path = f"{self._root}/{name}-{turn % 2}"
         schema = schema or df.schema
-        df.write.mode("overwrite").option("parquet.enable.dictionary", "false").parquet(path)
+        df.write.mode("overwrite").options(**self._options).parquet(path)
         return self._spark.read.schema(schema).parquet(path)
 
     def write_counting(self, name: str, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
