@@ -61,7 +61,8 @@ def main() -> None:
     small = Path(folder).parent / "sf0.001"
     run(spark, str(small) if small.exists() else folder, 8, 2)
     times = run(spark, folder, RANK, ITERATIONS)
-    scale = Path(folder).name.removeprefix("sf")
+    name = Path(folder).name.removeprefix("sf")
+    scale = float(name) if name.replace(".", "", 1).isdigit() else name
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "sf": scale}))
     spark.stop()
