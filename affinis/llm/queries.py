@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.llm.decontaminate import find_contamination
+from affinis.llm.fingerprints import edited_fingerprints
 from affinis.llm.near_duplicates import near_duplicate_classes
 from affinis.llm.packing import pack
+from affinis.llm.repeats import remove_repeats
 from affinis.llm.secrets import described, scan_secrets
+from affinis.llm.token_counts import count_tokens
 from affinis.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -18,6 +21,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, one: total + one["end"] - one["start"])
+    return found.select(
+        "doc_id",
+        (F.octet_length("kept") + removed).alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(documents, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
@@ -72,8 +98,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": repeats,
     "op2_packing": packing,
     "op3_toxicity": toxicity,
+    "op6_fingerprints": fingerprints,
+    "op7_token_counts": token_counts,
     "op8_secrets": secrets,
     "op9_decontamination": decontamination,
     "op10_near_duplicates": near_duplicates,

@@ -68,6 +68,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def bounded(batches, at: int, most: int = 8 << 20):
+    """The batches in slices of at most ``most`` bytes of column ``at``; a longer text comes alone."""
+    for batch in batches:
+        _, offsets = utf8(batch.column(at))
+        row = 0
+        while row < len(batch):
+            stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true bytes that stay inside a row."""
     if not len(member):
@@ -84,8 +95,8 @@ def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(first & member), np.flatnonzero(last & member) + 1
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the given ascending, disjoint byte spans, ASCII case folded."""
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLD) -> np.ndarray:
+    """64-bit hashes of the given ascending, disjoint byte spans; ``table`` maps bytes, by default to lower case."""
     value, up, down = powers(min(BLOCK_BYTES, len(raw)))
     out = np.empty(len(starts), dtype=_U64)
     at = 0
@@ -93,11 +104,11 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         begin = starts[at]
         stop = int(np.searchsorted(ends, begin + BLOCK_BYTES, side="right"))
         if stop <= at:  # one span longer than a block
-            text = FOLD[raw[begin : ends[at]]].tobytes()
+            text = table[raw[begin : ends[at]]].tobytes()
             out[at] = xxhash.xxh64_intdigest(text)
             at += 1
             continue
-        block = value[FOLD[raw[begin : ends[stop - 1]]]]
+        block = value[table[raw[begin : ends[stop - 1]]]]
         block *= up[: len(block)]
         total = np.zeros(len(block) + 1, dtype=_U64)
         np.cumsum(block, out=total[1:])
