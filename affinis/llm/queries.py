@@ -15,6 +15,11 @@ from affinis.llm.repeats import remove_repeats
 from affinis.llm.secrets import described, scan_secrets
 from affinis.llm.token_counts import count_tokens
 from affinis.llm.toxicity import fit_toxicity, score_toxicity
+from affinis.llm.url_filters import judge_urls
+from affinis.llm.warc import derive, responses
+
+# The rules of the url query, as (verdict, host/path).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +38,15 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(responses(_read(spark, sf_dir, "pages")))
+
+
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score", F.array_join("tokens", " ").alias("tokens"))
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -101,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": repeats,
     "op2_packing": packing,
     "op3_toxicity": toxicity,
+    "op4_warc_derivatives": warc_derivatives,
+    "op5_url_filters": url_filters,
     "op6_fingerprints": fingerprints,
     "op7_token_counts": token_counts,
     "op8_secrets": secrets,
