@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from affinis.llm.frames import broadcast_if, fits, pick, without_clashes
-from affinis.llm.text import words
+from affinis.llm.text import bounded, words
 from affinis.runtime import cut_lineage
 
 WIDTH = 10
@@ -78,7 +78,7 @@ def build_index(documents: DataFrame, gap: int = WIDTH + SLOP) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes, hashes, held = [], [], [], 0
-        for batch in batches:
+        for batch in bounded(batches, 1):
             found, bounds = words(batch.column(1))
             for at, size in enumerate(np.diff(bounds).tolist()):
                 if held and held + size > SHARD_WORDS:

@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm.components import component_labels
-from affinis.llm.frames import without_clashes
-from affinis.llm.text import distinct, mix, rows_of, utf8, words
+from affinis.llm.frames import broadcast_if, fits, without_clashes
+from affinis.llm.text import bounded, distinct, mix, rows_of, words
 from affinis.runtime import cut_lineage, cut_lineage_counting
 
 SHINGLE_WORDS = 5
@@ -48,6 +48,8 @@ HASHES = ROWS * BANDS
 SLOT_BITS = 20
 SLOT_BLOCK = 1 << 14
 LARGE_BUCKET = 200
+#: Ids that are sent to all tasks instead of being joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Quantile tables of the random variables that the samples draw from.
 QUANTILES = 4096
 #: (shingle, sample) cells computed at once.
@@ -104,7 +106,7 @@ def document_frequencies(texts: DataFrame) -> Frequencies:
 
     def count(batches):
         slots, seen = np.zeros(1 << SLOT_BITS, dtype=np.int64), 0
-        for batch in batches:
+        for batch in bounded(batches, 0):
             row, key = shingles(batch.column(0))
             key = key[distinct(row, key)]
             slots += np.bincount((key >> _U64(64 - SLOT_BITS)).astype(np.int64), minlength=len(slots))
@@ -184,11 +186,11 @@ def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int) ->
 
 
 def _sketches(texts: DataFrame, frequencies) -> DataFrame:
-    """id, bands and the packed set of each text that has words; equal texts repeat once per task."""
+    """id and bands of each text that has words; equal texts repeat once per task."""
 
     def sketch(batches):
         table, seen = frequencies.value, set()
-        for batch in batches:
+        for batch in bounded(batches, 1):
             names = batch.column(0).to_pylist()
             batch = batch.take(pa.array([at for at, name in enumerate(names) if not (name in seen or seen.add(name))], pa.int64()))
             row, key, weight = weighted_sets(batch.column(1), table)
@@ -197,57 +199,55 @@ def _sketches(texts: DataFrame, frequencies) -> DataFrame:
             for j in range(ROWS):
                 bands = mix(bands * _U64(0x100000001B3) + codes[:, j::ROWS][:, :BANDS].view(_U64))
             some = np.unique(row)
-            edges = np.searchsorted(row, np.append(some, len(batch)))
-            # 32 bits of a shingle are enough to compare two sets; weights keep their 32 bits.
-            short = (key >> _U64(16)).astype("<u4")
-            order = np.lexsort((short, row))
-            short, w = short[order], weight[order].astype("<f4")
-            packed = [short[a:b].tobytes() + w[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(some)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands[some].reshape(-1).view(np.int64))),
-                    pa.array(packed, pa.binary()),
-                ],
-                names=["id", "bands", "items"],
-            )
-
-    return texts.select("id", "text").mapInArrow(sketch, "id binary, bands array<long>, items binary")
-
-
-def unpack(items: bytes) -> tuple[np.ndarray, np.ndarray]:
-    half = len(items) // 2
-    return np.frombuffer(items[:half], dtype="<u4"), np.frombuffer(items[half:], dtype="<f4").astype(np.float64)
-
-
-def weighted_jaccard(left: bytes, right: bytes) -> float:
-    """Sum of the smaller weights over the sum of the larger ones; keys ascend."""
-    (a, x), (b, y) = unpack(left), unpack(right)
-    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
-    same = b[at] == a if len(b) else np.zeros(len(a), dtype=bool)
-    common = np.minimum(x[same], y[at[same]]).sum()
-    return float(common / max(x.sum() + y.sum() - common, 1e-300))
-
-
-def _similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands[some].reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists], names=["id", "bands"])
+
+    return texts.select("id", "text").mapInArrow(sketch, "id binary, bands array<long>")
+
+
+def weighted_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of two sets: ascending keys ``a`` and ``b``, weights ``x`` and ``y``."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    same = b[at] == a
+    common = np.minimum(x[same], y[at[same]]).sum(dtype=np.float64)
+    return float(common / (x.sum(dtype=np.float64) + y.sum(dtype=np.float64) - common))
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows.join(broadcast_if(ids, fits(ids, BROADCAST_IDS)), "id", "left_semi")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, frequencies, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are at least so similar."""
 
     def compare(batches):
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = [i for i in range(len(batch)) if weighted_jaccard(left[i].as_py(), right[i].as_py()) >= similarity]
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = sketches.select("id", "items").join(asked, "id", "left_semi").dropDuplicates(["id"])
+        table = frequencies.value
+        for batch in bounded(bounded(batches, 2), 3):
+            sets = []
+            for column in (2, 3):
+                row, key, weight = weighted_sets(batch.column(column), table)
+                edges = np.searchsorted(row, np.arange(len(batch) + 1))
+                sets.append([(key[i:j], weight[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)])
+            alike = [at for at, (left, right) in enumerate(zip(*sets, strict=True)) if weighted_jaccard(*left, *right) >= similarity]
+            yield batch.select([0, 1]).take(pa.array(alike, pa.int64()))
+
+    asked = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    sides = _only(texts, asked)
     return (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        pairs.join(sides.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+        .join(sides.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(compare, "a binary, b binary")
     )
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, id, class) of buckets with more than one class."""
+    mark = F.xxhash64("class")
+    mixed = rows.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low != high")
+    return rows.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
 def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     """Each member of a bucket with the bucket's leader of this turn, across classes only."""
     order = F.struct(F.xxhash64("id", F.lit(turn)).alias("at"), "id", "class")
@@ -260,69 +260,65 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _buckets(sketches: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """(bucket, id, class, bands) of the buckets that hold more than one class."""
-    rows = sketches.select("id", "bands").dropDuplicates(["id"])
-    rows = rows.withColumn("class", F.col("id")) if classes is None else rows.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    spread = rows.select("id", "class", "bands", F.posexplode("bands").alias("band", "key")).select(
-        F.xxhash64("band", "key").alias("bucket"), "id", "class", "bands"
-    )
-    mixed = spread.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high")
-    return spread.join(mixed.select("bucket"), "bucket", "left_semi")
-
-
-def _divided(members: DataFrame) -> DataFrame:
-    """Buckets of many classes divided by every band of their members; empty if there are none."""
-    large = members.groupBy("bucket").agg(F.approx_count_distinct("class").alias("size")).filter(F.col("size") > LARGE_BUCKET)
-    again = members.join(large.select("bucket"), "bucket", "left_semi")
-    spread = again.select("id", "class", F.col("bucket").alias("outer"), F.posexplode("bands").alias("band", "key"))
+def _divided(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of large buckets, divided by every other band of their members."""
+    bands = _only(sketches, cut_lineage(large.select("id").distinct())).dropDuplicates(["id"])
+    spread = large.join(bands, "id").select("id", "class", F.col("bucket").alias("outer"), F.posexplode("bands").alias("band", "key"))
     spread = spread.filter(F.xxhash64("band", "key") != F.col("outer"))
-    return spread.select(F.xxhash64("outer", "band", "key").alias("bucket"), "id", "class")
+    return _several(cut_lineage(spread.select(F.xxhash64("outer", "band", "key").alias("bucket"), "id", "class")))
 
 
-def _remaining_pairs(members: DataFrame) -> DataFrame:
+def _remaining_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """All pairs across classes in the small buckets; the large ones are divided first."""
-    narrow = members.select("bucket", "id", "class")
-    sizes = narrow.groupBy("bucket").agg(F.approx_count_distinct("class").alias("size"))
-    small = narrow.join(sizes.filter(F.col("size") <= LARGE_BUCKET).select("bucket"), "bucket", "left_semi").unionByName(_divided(members))
-    other = small.select("bucket", F.col("id").alias("b"), F.col("class").alias("other"))
+    sizes = members.groupBy("bucket").agg(F.approx_count_distinct("class").alias("size"))
+    large = cut_lineage(members.join(sizes.filter(F.col("size") > LARGE_BUCKET).select("bucket"), "bucket", "left_semi"))
+    rows = members
+    if not large.isEmpty():
+        rows = members.join(large.select("bucket").distinct(), "bucket", "left_anti").unionByName(_divided(large, sketches))
+    other = rows.select("bucket", F.col("id").alias("b"), F.col("class").alias("other"))
     return (
-        small.withColumnRenamed("id", "a")
+        rows.withColumnRenamed("id", "a")
         .join(other, "bucket")
-        .filter((F.col("class") < F.col("other")))
+        .filter(F.col("class") < F.col("other"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
 
 
-def _links(sketches: DataFrame, similarity: float, rounds: int) -> DataFrame:
-    """Rows (id, class): ids of texts in classes of more than one text."""
-    spark = sketches.sparkSession
+def _links(texts: DataFrame, frequencies, similarity: float, rounds: int) -> DataFrame:
+    """Rows (id, class): the texts (id, text) in classes of more than one."""
+    sketches = cut_lineage(_sketches(texts, frequencies))
+    spread = sketches.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "id")
+    members = cut_lineage(_several(spread.withColumn("class", F.col("id"))).distinct())
+    # Only texts that meet another one in some bucket are looked at again.
+    texts = cut_lineage(_only(texts, cut_lineage(members.select("id").distinct())).dropDuplicates(["id"]))
     links, classes = None, None
     for turn in range(rounds + 1):
-        members = _buckets(sketches, classes)
-        pairs = _leader_pairs(members, turn) if turn < rounds else _remaining_pairs(members)
-        found, count = cut_lineage_counting(_similar(cut_lineage(pairs), sketches, similarity))
+        pairs = _leader_pairs(members, turn) if turn < rounds else _remaining_pairs(members, sketches)
+        pairs, count = cut_lineage_counting(pairs)
+        found, count = cut_lineage_counting(_similar(pairs, texts, frequencies, similarity)) if count else (None, 0)
         if count:
             links = found if links is None else links.unionByName(found)
             classes = component_labels(links)
+            if turn < rounds:
+                merged = members.drop("class").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+                members = cut_lineage(_several(merged))
     if classes is None:
-        classes = spark.createDataFrame([], "id binary, class binary")
+        classes = texts.sparkSession.createDataFrame([], "id binary, class binary")
     return classes
 
 
 def _named(documents: DataFrame) -> DataFrame:
     made = ("class_id", "is_representative", "text_id", "class", "keeper")
     rows = without_clashes(documents, ("doc_id", "text"), made)
-    return rows.withColumn("text_id", F.when(F.length("text") > 0, F.unhex(F.sha2("text", 256))))
+    return rows.withColumn("text_id", F.when(F.length("text") > 0, F.unhex(F.substring(F.sha2("text", 256), 1, 32))))
 
 
 def _classes(named: DataFrame, similarity: float, rounds: int) -> DataFrame:
     """(text_id, doc_id, class): one row per row with a text; class is a text_id."""
     texts = named.filter(F.col("text_id").isNotNull()).select(F.col("text_id").alias("id"), "text")
     frequencies = named.sparkSession.sparkContext.broadcast(document_frequencies(texts))
-    sketches = cut_lineage(_sketches(texts, frequencies))
-    classes = _links(sketches, similarity, rounds).withColumnRenamed("id", "text_id")
+    classes = _links(texts, frequencies, similarity, rounds).withColumnRenamed("id", "text_id")
     rows = named.filter(F.col("text_id").isNotNull()).select("text_id", "doc_id")
     return rows.join(classes, "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from affinis.llm.frames import pick
-from affinis.llm.text import IN_WORD, spans, utf8
+from affinis.llm.text import IN_WORD, bounded, spans, utf8
 from affinis.runtime import GenerationStore
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -106,7 +106,7 @@ def pack(documents: DataFrame, capacities: tuple[int, ...] = CAPACITIES, block_t
     largest = max(capacities)
 
     def cut(batches):
-        for batch in batches:
+        for batch in bounded(batches, 1):
             tokens = count_tokens(batch.column(1))
             parts = np.maximum(1, -(-tokens // largest))
             row = np.repeat(np.arange(len(tokens)), parts)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from affinis.llm.frames import broadcast_if, fits, pick, without_clashes
-from affinis.llm.text import Lookup, distinct, lists, pair_key, rows_of, signed, words
+from affinis.llm.text import Lookup, bounded, distinct, lists, pair_key, rows_of, signed, words
 from affinis.runtime import cut_lineage
 
 #: A count is discounted by so many of its standard deviations, and by LEAST_DISCOUNT at least.
@@ -70,7 +70,7 @@ def _keys(column: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def _count_bigrams(batches):
-    for batch in batches:
+    for batch in bounded(batches, 0):
         row, left, word, key, _ = _keys(batch.column(0))
         if not len(key):
             continue
@@ -205,7 +205,7 @@ def _ratios(documents: DataFrame, weights: DataFrame, broadcast_weights: int) ->
 
     def add(batches):
         known_weights = lookup.value
-        for batch in batches:
+        for batch in bounded(batches, at):
             row, left, word, bigram, count = _keys(batch.column(at))
             sums = np.zeros((2, count))
             rest_rows, rest_keys = [], []
