@@ -68,7 +68,7 @@ def build_layout(
         sliced = sliced.withColumn("heavy", F.lit(False))
     else:
         marks = heavy.select("id", F.lit(True).alias("heavy"))
-        sliced = sliced.join(F.broadcast(marks), "id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+        sliced = sliced.join(marks, "id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     placed = sliced.withColumn("block", bucket(blocks, F.col("id"), F.col("slice")))
     lists = (
         placed.repartitionById(partitions, F.col("block"))

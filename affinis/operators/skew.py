@@ -1,29 +1,35 @@
 """Joins that stay balanced when single keys hold a large share of the rows.
 
-A key is *heavy* when it has more than ``limit`` rows, where ``limit`` is at
-least ``total / MAX_HEAVY_KEYS``. There can be no more than MAX_HEAVY_KEYS such
-keys whatever the data, so the table of heavy keys is safe to broadcast. Rows of
-a heavy key are spread over slices of about ``rows_per_slice`` rows and the
-other side's row is repeated once per slice.
+A key is *heavy* when it has more than ``rows_per_slice`` rows. Its rows are
+spread over slices of about that many, and the other side's row is repeated once
+per slice. Every heavy key is sliced, however many there are. The table of heavy
+keys is broadcast while its counted bytes stay below a bound and joined by
+shuffle beyond.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.runtime import cut_lineage
 
-# Upper bound on the rows of a broadcast heavy-key table (a key and a number each).
-MAX_HEAVY_KEYS = 500_000
+# Counted bytes of keys and numbers up to which a table is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+_NUMBER_BYTES = 16
 # Below this many rows a key never needs slicing.
 ROWS_PER_SLICE = 1_000_000
 # A lookup of counted size is broadcast up to this many rows, shuffled beyond.
 BROADCAST_ROWS = 200_000
 
 
+def broadcast_within(table: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """``table``, marked for broadcast if its keys and one number each fit in BROADCAST_BYTES."""
+    size = F.octet_length(F.col(key).cast("string")) if dict(table.dtypes)[key] in ("string", "binary") else F.lit(8)
+    total = table.agg(F.coalesce(F.sum(size + F.lit(_NUMBER_BYTES)), F.lit(0))).first()[0]
+    return F.broadcast(table) if total <= (BROADCAST_BYTES if limit is None else limit) else table
+
+
 def heavy_keys(
     degrees: DataFrame,
     key: str,
@@ -39,12 +45,12 @@ def heavy_keys(
     """
     if table_rows is not None and table_rows <= rows_per_slice:
         return None
-    total, largest = degrees.agg(F.sum(rows), F.max(rows)).first()
-    limit = max(rows_per_slice, math.ceil((total or 0) / MAX_HEAVY_KEYS))
-    if largest is None or largest <= limit:
+    largest = degrees.agg(F.max(rows)).first()[0]
+    if largest is None or largest <= rows_per_slice:
         return None
     slices = F.ceil(F.col(rows) / F.lit(float(rows_per_slice))).cast("int")
-    return cut_lineage(degrees.filter(F.col(rows) > limit).select(key, slices.alias("slices")))
+    heavy = cut_lineage(degrees.filter(F.col(rows) > rows_per_slice).select(key, slices.alias("slices")))
+    return broadcast_within(heavy, key)
 
 
 def with_slice(facts: DataFrame, heavy: DataFrame | None, key: str, repeats: bool = True) -> DataFrame:
@@ -57,7 +63,7 @@ def with_slice(facts: DataFrame, heavy: DataFrame | None, key: str, repeats: boo
     if heavy is None:
         return facts.withColumn("slice", F.lit(0))
     seeds = [F.col(c) for c in facts.columns] + ([F.spark_partition_id()] if repeats else [])
-    tagged = facts.join(F.broadcast(heavy), key, "left")
+    tagged = facts.join(heavy, key, "left")
     spread = F.pmod(F.xxhash64(*seeds), F.col("slices")).cast("int")
     return tagged.withColumn("slice", F.when(F.col("slices").isNull(), F.lit(0)).otherwise(spread)).drop("slices")
 
@@ -73,16 +79,16 @@ def skew_join(
     """Join ``facts`` with a ``lookup`` that is unique on ``key``.
 
     ``how`` is inner, left, left_semi or left_anti. ``lookup_rows`` is the
-    counted size of the lookup where the caller knows it; a small one is
-    broadcast, which leaves the facts where they are.
+    counted size of the lookup where the caller knows it; one of few rows and
+    bytes is broadcast, which leaves the facts where they are.
     """
     columns = list(facts.columns)
     if how in ("inner", "left"):
         columns += [name for name in lookup.columns if name != key]
     if lookup_rows is not None and lookup_rows <= BROADCAST_ROWS:
-        return facts.join(F.broadcast(lookup), key, how).select(columns)
+        return facts.join(broadcast_within(lookup, key), key, how).select(columns)
     if heavy is None:
         return facts.join(lookup, key, how).select(columns)
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1))
-    fanned = lookup.join(F.broadcast(heavy), key, "left").withColumn("slice", copies).drop("slices")
+    fanned = lookup.join(heavy, key, "left").withColumn("slice", copies).drop("slices")
     return with_slice(facts, heavy, key).join(fanned, [key, "slice"], how).select(columns)

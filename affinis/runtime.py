@@ -73,4 +73,6 @@ class GenerationStore:
         """Write, and count the rows that fulfil ``condition`` in the same pass."""
         watch = Observation()
         table = self.write(name, df.observe(watch, F.count_if(condition).alias("rows")))
-        return table, watch.get.get("rows") or 0
+        counted = watch.get.get("rows")
+        # Without an observation the table itself is counted; a wrong 0 would end a loop early.
+        return table, table.filter(condition).count() if counted is None else counted

@@ -36,7 +36,11 @@ def scan_reviews(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def scan_interactions(
     table: DataFrame, user: Column | str, item: Column | str, rating: Column | str, ts: Column | str
 ) -> DataFrame:
-    """Any table as interactions; only the four mapped expressions are read."""
+    """Any table as interactions; only the four mapped expressions are read.
+
+    A row without a user or without an item is not an interaction and is left
+    out, so that null never gets a number of its own.
+    """
 
     def column(source: Column | str) -> Column:
         return F.col(source) if isinstance(source, str) else source
@@ -46,7 +50,7 @@ def scan_interactions(
         column(item).alias("item_raw"),
         column(rating).cast("double").alias("rating"),
         column(ts).alias("ts"),
-    )
+    ).filter("user_raw IS NOT NULL AND item_raw IS NOT NULL")
 
 
 def scan_embedded_json(
