@@ -27,12 +27,22 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return scan_embedded_json(table, "user_id", "props", "$.k", "bigint", "value", "ts")
 
 
-_prepared: dict[tuple[str, str], Prepared] = {}
+_prepared: dict[tuple, Prepared] = {}
+
+
+def _state(spark: SparkSession, folder: str, *tables: str) -> tuple:
+    """What tells one state of the files of some tables from another."""
+    found = []
+    for table in tables:
+        file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        files = spark.read.parquet(f"{folder}/{table}.parquet").select(file.alias("file"))
+        found.append(tuple(files.agg(F.count("file"), F.bit_xor("file"), F.sum(F.col("file").cast("decimal(38,0)"))).first()))
+    return tuple(found)
 
 
 def prepared_purchases(spark: SparkSession, folder: str) -> Prepared:
-    """The (10, 10) core of all purchases; kept per session, as many queries start from it."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The (10, 10) core of all purchases; kept per session and state of the files, as many queries start from it."""
+    key = (spark.sparkContext.applicationId, folder, _state(spark, folder, "lineitem", "orders"))
     if key not in _prepared:
         _prepared[key] = prepare(purchases(spark, folder))
     return _prepared[key]

@@ -265,6 +265,15 @@ def _relational() -> dict[str, str]:
         "scan_json_interactions": f"SELECT user_raw, item_raw, rating, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s FROM ({EVENTS})",
         "scan_review_files": "SELECT CAST(user_raw AS VARCHAR) AS user_raw, CAST(item_raw AS VARCHAR) AS item_raw, rating, "
         f"date_trunc('second', ts) AS ts FROM {rows}",
+        "scan_null_ids": "WITH kept AS (SELECT user_raw, item_raw, rating FROM (SELECT event_id, user_id AS user_raw, "
+        "CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_raw, \"value\" AS rating FROM events) "
+        "WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND user_raw IS NOT NULL AND item_raw IS NOT NULL) "
+        "SELECT dense_rank() OVER (ORDER BY user_raw) - 1 AS user_id, dense_rank() OVER (ORDER BY item_raw) - 1 AS item_id, rating FROM kept",
+        **{
+            f"sink_{kind}": "SELECT user_raw, count(*) AS n, CASE WHEN count(*) > 20 THEN 'more, than \"20\" of ' || user_raw END AS note "
+            f"FROM {rows} GROUP BY user_raw"
+            for kind in ("csv", "json")
+        },
         "binarize": f"SELECT user_raw, item_raw, 1.0::DOUBLE AS rating, ts FROM {rows} WHERE rating > 25 AND NOT isnan(rating)",
         "user_counts": f"SELECT user_raw, count(*) AS n FROM {rows} GROUP BY user_raw",
         "item_counts": f"SELECT item_raw, count(*) AS n FROM {rows} GROUP BY item_raw",
@@ -502,6 +511,11 @@ def _experiments() -> dict[str, str]:
         + " UNION ALL ".join(f"SELECT {n} AS iteration, {value} AS loss" for n, value in enumerate(losses, start=1))
         + ")"
     )
+    known = [f"SELECT DISTINCT '{side}' AS side, {side}_id AS id, 8 AS length, {solved} AS solved FROM d_train" for side, solved in (("user", "true"), ("item", "NULL::BOOLEAN"))]
+    found["baseline_als"] = script.select(" UNION ALL ".join(known))
+    every = [f"SELECT '{side}' AS side, {side}_id AS id, 8 AS length FROM d_{side}s" for side in ("user", "item")]
+    found["baseline_factors"] = script.select(" UNION ALL ".join(every))
+    found["baseline_comparison"] = "SELECT method, true AS growing, true AS inside FROM (VALUES ('elementwise'), ('mllib')) v(method)"
     placed = ranks(script, "placed", *steps[-1], "d", RANK)
     found["trainer_comparison"] = script.select(
         f"SELECT implementation, {losses[-1]} AS final_loss, hr_10 FROM (SELECT {metrics((10,))} FROM {placed}) "

@@ -14,7 +14,8 @@ from affinis.plans import baseline, experiments, training
 from affinis.plans.prepare import Prepared, prepare
 from affinis.plans.prepare import prepare_summary as summary_of
 from affinis.runtime import GenerationStore, checkpoint_root
-from affinis.sources.interactions import scan_reviews
+from affinis.sources import sinks
+from affinis.sources.interactions import scan_embedded_json, scan_reviews
 from catalog.fixtures import events, prepared_purchases, purchases, start_factors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +73,38 @@ def scan_review_files(spark, folder):
     return scan_reviews(spark, path)
 
 
+@query
+def scan_null_ids(spark, folder):
+    """Events of which some name no item and some no user; such rows are no interactions."""
+    table = spark.read.parquet(f"{folder}/events.parquet")
+    table = table.withColumn("props", F.when(F.col("event_id") % 5 != 0, F.col("props")))
+    table = table.withColumn("user_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")))
+    rows = scan_embedded_json(table, "user_id", "props", "$.k", "bigint", "value", "ts")
+    return numbering.reindex(rows)[0].select("user_id", "item_id", "rating")
+
+
+def _round_trip(spark, folder, kind, write, read):
+    """Counts per customer written by a sink and read back."""
+    path = f"{checkpoint_root(spark)}/sink-{kind}-{uuid.uuid4().hex}"
+    rows = interactions.row_counts(purchases(spark, folder), "user_raw")
+    many = F.when(F.col("n") > 20, F.concat(F.lit('more, than "20" of '), F.col("user_raw")))
+    write(rows.withColumn("note", many), path)
+    return read("user_raw long, n long, note string", path)
+
+
+@query
+def sink_csv(spark, folder):
+    def read(schema, path):
+        return spark.read.schema(schema).csv(path, header=True, escape="\"")
+
+    return _round_trip(spark, folder, "csv", sinks.write_csv, read)
+
+
+@query
+def sink_json(spark, folder):
+    return _round_trip(spark, folder, "json", sinks.write_json, lambda schema, path: spark.read.schema(schema).json(path))
+
+
 @query
 def binarize(spark, folder):
     return interactions.binarize(purchases(spark, folder), 25.0)
@@ -407,10 +440,16 @@ def trainer_comparison(spark, folder):
 
 @query
 def baseline_als(spark, folder):
+    """Ids that the model knows; the side it solves last fulfils its normal equations."""
     data = prepared_purchases(spark, folder)
     model = baseline.fit_baseline(data.train, 8, 5)
-    sides = (model.userFactors, "user"), (model.itemFactors, "item")
-    user_side, item_side = (known.select(F.lit(side).alias("side"), "id", "features") for known, side in sides)
+    solved = baseline.solves_normal_equations(model, data.train)
+    users = model.userFactors.select(F.col("id").cast("long").alias("id"), "features").join(solved, "id")
+    items = model.itemFactors.select(F.col("id").cast("long").alias("id"), "features", F.lit(None).cast("boolean").alias("solved"))
+    user_side, item_side = (
+        known.select(F.lit(side).alias("side"), "id", F.size("features").alias("length"), "solved")
+        for known, side in ((users, "user"), (items, "item"))
+    )
     return user_side.unionAll(item_side)
 
 
@@ -429,4 +468,8 @@ def baseline_factors(spark, folder):
 
 @query
 def baseline_comparison(spark, folder):
-    return experiments.baseline_comparison(prepared_purchases(spark, folder), 8, 5)
+    """Both methods, and whether their metrics lie and grow as they must; a test looks at the values."""
+    table = experiments.baseline_comparison(prepared_purchases(spark, folder), 8, 5)
+    growing = (F.col("hr_5") <= F.col("hr_10")) & (F.col("hr_10") <= F.col("hr_20"))
+    inside = (F.col("hr_5") >= 0) & (F.col("hr_20") <= 1) & (F.col("ndcg_10") <= F.col("hr_10")) & (F.col("ndcg_10") >= 0)
+    return table.select("method", growing.alias("growing"), inside.alias("inside"))

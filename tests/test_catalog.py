@@ -4,11 +4,12 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog.oracles import all_oracles
+from catalog.queries import all_queries
 from compare import connect, from_spark, from_sql
 
 FOLDER = os.environ.get("CATALOG_FOLDER", "/root/testdata/sf0.001")
-WITHOUT_SQL = {"baseline_als", "baseline_factors", "baseline_comparison"}
 
 
 @pytest.fixture(scope="module")
@@ -18,25 +19,19 @@ def tables():
     connection.close()
 
 
-def test_only_the_library_model_has_no_sql():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+def test_every_query_has_sql():
+    assert set(all_queries()) == set(all_oracles())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_query_equals_sql(spark, tables, name):
-    names, rows = from_spark(queries()[name](spark, FOLDER))
-    expected_names, expected = from_sql(tables, oracle_sql()[name])
+    names, rows = from_spark(all_queries()[name](spark, FOLDER))
+    expected_names, expected = from_sql(tables, all_oracles()[name])
     assert names == expected_names
     assert len(rows) == len(expected)
     assert rows == expected
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_query_gives_rows(spark, name):
-    assert queries()[name](spark, FOLDER).count() > 0
-
-
 def test_entry(spark):
     row = entry(spark).first()
     assert 0.0 <= row["hr_5"] <= row["hr_10"] <= row["hr_20"] <= 1.0
