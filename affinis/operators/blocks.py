@@ -4,7 +4,8 @@ Rows of the matrix (users in one layout, items in the other) are hashed into
 blocks. A block keeps, per row, the sorted numbers of its neighbours, and each
 factor row of the other side is mailed once to every block that needs it, not
 once per interaction. Rows with very many neighbours are cut into slices that
-live in different blocks.
+live in different blocks. Blocks that the hash made larger than their bound are
+cut at values of a second hash, so that the bound holds for every block.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.functions.expressions import bucket
 from affinis.operators.skew import ROWS_PER_SLICE, heavy_keys, with_slice
+from affinis.runtime import cut_lineage
 
 # Memory of one block: its pairs, and in the worst case one factor row per pair.
 BLOCK_BYTES = 256 * 1024 * 1024
@@ -26,12 +28,21 @@ MAX_PARTITIONS = 20_000
 
 @dataclass(frozen=True)
 class Layout:
-    """``lists``: (block, id, heavy, neighbours); ``heavy``: (id, slices) or None."""
+    """``lists``: (block, id, heavy, neighbours); ``heavy``: (id, slices) or None.
+
+    ``cuts``: (hashed, first, edges) of the blocks that were cut, or None.
+    """
 
     lists: DataFrame
     heavy: DataFrame | None
     blocks: int
     partitions: int
+    hashed_blocks: int
+    cuts: DataFrame | None = None
+
+    def placed(self, rows: DataFrame, slice_: Column) -> DataFrame:
+        """``rows`` with the ``block`` that holds the list of their id and slice."""
+        return _placed(rows, slice_, self.hashed_blocks, self.cuts)
 
     def unpersist(self) -> None:
         self.lists.unpersist()
@@ -47,6 +58,47 @@ def block_count(pairs: int, rank: int, parallelism: int, block_bytes: int = BLOC
     return max(1, parallelism, math.ceil(pairs / pairs_per_block(rank, block_bytes)))
 
 
+def _order(slice_: Column) -> Column:
+    """Place of a list inside its hashed block."""
+    return F.xxhash64("id", slice_, F.lit(1))
+
+
+def _placed(rows: DataFrame, slice_: Column, blocks: int, cuts: DataFrame | None) -> DataFrame:
+    hashed = bucket(blocks, F.col("id"), slice_)
+    if cuts is None:
+        return rows.withColumn("block", hashed)
+    before = F.coalesce(F.size(F.filter("edges", lambda edge: edge <= F.col("_order"))), F.lit(0))
+    marked = rows.withColumn("_hashed", hashed).withColumn("_order", _order(slice_))
+    met = marked.join(cuts, marked["_hashed"] == cuts["hashed"], "left")
+    block = F.when(F.col("hashed").isNull() | (before == 0), F.col("_hashed")).otherwise(F.col("first") + before - 1)
+    return met.select(*rows.columns, block.cast("int").alias("block"))
+
+
+def _cuts(sliced: DataFrame, blocks: int, block_pairs: int) -> tuple[DataFrame | None, int]:
+    """The cuts of blocks with more than ``block_pairs`` pairs, and how many blocks they add.
+
+    Lists are taken in the order of the second hash and cut wherever half a
+    block is full; as no list has more than half a block, no piece has more
+    than a whole. The driver sees the blocks that are cut, not their lists.
+    """
+    lists = sliced.groupBy("id", "slice").agg(F.count(F.lit(1)).alias("n"))
+    lists = lists.withColumn("hashed", bucket(blocks, F.col("id"), F.col("slice"))).withColumn("place", _order(F.col("slice")))
+    over = lists.groupBy("hashed").agg(F.sum("n").alias("pairs")).filter(F.col("pairs") > block_pairs).select("hashed")
+    running = Window.partitionBy("hashed").orderBy("place", "id", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    piece = F.floor(F.coalesce(F.sum("n").over(running), F.lit(0)) / F.lit(float(max(1, block_pairs // 2))))
+    pieces = lists.join(over, "hashed", "left_semi").withColumn("piece", piece)
+    edges = pieces.groupBy("hashed", "piece").agg(F.min("place").alias("edge")).filter("piece > 0")
+    found = cut_lineage(edges.groupBy("hashed").agg(F.sort_array(F.collect_list("edge")).alias("edges")))
+    firsts, added = [], 0
+    for row in found.select("hashed", F.size("edges").alias("more")).orderBy("hashed").collect():
+        firsts.append((row["hashed"], blocks + added))
+        added += row["more"]
+    if not firsts:
+        return None, 0
+    numbered = found.sparkSession.createDataFrame(firsts, "hashed int, first int")
+    return cut_lineage(found.join(numbered, "hashed").select("hashed", "first", "edges")), added
+
+
 def build_layout(
     train: DataFrame,
     by: str,
@@ -54,9 +106,13 @@ def build_layout(
     blocks: int,
     rows_per_slice: int = ROWS_PER_SLICE,
     table_rows: int | None = None,
+    block_pairs: int | None = None,
 ) -> Layout:
     """Lay the distinct train pairs out by ``by``; one shuffle of the pairs.
 
+    ``block_pairs`` bounds the pairs of every block, provided that no slice has
+    more than half of them.
+
     The block of a pair depends on its two numbers only, so blocks that are
     recomputed after a loss still fit the routes taken from them.
     """
@@ -69,7 +125,8 @@ def build_layout(
     else:
         marks = heavy.select("id", F.lit(True).alias("heavy"))
         sliced = sliced.join(marks, "id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    placed = sliced.withColumn("block", bucket(blocks, F.col("id"), F.col("slice")))
+    cuts, added = (None, 0) if block_pairs is None else _cuts(sliced, blocks, block_pairs)
+    placed = _placed(sliced, F.col("slice"), blocks, cuts)
     lists = (
         placed.repartitionById(partitions, F.col("block"))
         .groupBy("block", "id", "slice", "heavy")
@@ -77,7 +134,7 @@ def build_layout(
         .select("block", "id", "heavy", "neighbours")
         .persist()
     )
-    return Layout(lists, heavy, blocks, partitions)
+    return Layout(lists, heavy, blocks + added, partitions, blocks, cuts)
 
 
 def routes(layout: Layout) -> DataFrame:

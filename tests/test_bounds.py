@@ -31,6 +31,17 @@ def test_every_key_above_a_slice_is_sliced(spark, monkeypatch, sent):
     layout.unpersist()
 
 
+def test_no_block_exceeds_its_bound(spark):
+    pairs = spark.range(300 * 20).select((F.col("id") % 300).alias("user_id"), F.floor(F.col("id") / 300).alias("item_id"))
+    layout = build_layout(pairs, "user_id", "item_id", 100, rows_per_slice=30, block_pairs=60)
+    sizes = [r.n for r in layout.lists.groupBy("block").agg(F.sum(F.size("neighbours")).alias("n")).collect()]
+    assert sum(sizes) == 300 * 20 and max(sizes) <= 60 and layout.cuts is not None
+    homes = layout.placed(spark.range(300).select("id"), F.lit(0))
+    met = layout.lists.join(homes, "id").filter(layout.lists["block"] != homes["block"])
+    assert met.count() == 0 and homes.count() == 300
+    layout.unpersist()
+
+
 def test_rows_without_ids_are_no_interactions(spark):
     rows = [(None, "a", 5.0, 1), ("u", None, 5.0, 2), (None, None, 5.0, 3), ("u", "a", 5.0, 4), ("v", "b", 5.0, 5), ("v", "a", 5.0, 6)]
     scanned = scan_interactions(spark.createDataFrame(rows, ROWS), "user_raw", "item_raw", "rating", "ts")
