@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from affinis.operators import blocks, core, factors, halfstep, interactions, loss, matrix, numbering, ranking
 from affinis.operators import sampling, split, weights
-from affinis.plans import baseline, experiments, training
+from affinis.plans import baseline, experiments, relational, training
 from affinis.plans.prepare import Prepared, prepare
 from affinis.plans.prepare import prepare_summary as summary_of
 from affinis.runtime import GenerationStore, checkpoint_root
@@ -416,12 +416,15 @@ def resplit_size_sweep(spark, folder):
 
 
 def _two_trainers(spark, folder):
-    """The same objective through both trainers: uniform weights, and popularity weights with exponent 0."""
-    data = prepared_purchases(spark, folder)
-    return {
-        "uniform": lambda _: _uniform(spark, folder, damped=False),
-        "popularity": lambda _: _popular(spark, folder, w_obs=1.0, c0=float(data.num_items), alpha=0.0),
-    }
+    """One objective in two independent forms: the kernels with uniform weights, joins with popularity weights of exponent 0."""
+
+    def relational_trainer(data):
+        return relational.eals_train_relational(
+            data.train, data.num_users, data.num_items, RANK, ITERATIONS,
+            w_obs=1.0, c0=float(data.num_items), alpha=0.0, start=_start(spark, data),
+        )
+
+    return {"uniform": lambda _: _uniform(spark, folder, damped=False), "popularity": relational_trainer}
 
 
 @query
