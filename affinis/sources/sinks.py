@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Comma-separated files with a header; an existing table is replaced."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Comma-separated files with a header, quotes doubled inside values; an existing table is replaced."""
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
