@@ -16,6 +16,7 @@ each; special tokens inside texts count as the tokenizer's default has it.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,6 +33,8 @@ from affinis.runtime import cut_lineage
 TOKEN_LIMIT = 2048
 #: Pre-tokens whose counts are sent to all tasks (12 bytes each).
 BROADCAST_PIECES = 4_000_000
+#: Bytes of text cut at once, and of pre-tokens given to the tokenizer at once.
+SLICE_BYTES, ENCODE_BYTES = 4 << 20, 1 << 16
 _SAME = np.arange(256, dtype=np.uint8)
 
 
@@ -70,7 +73,7 @@ def piece_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
     definition = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 0):
+        for batch in bounded(batches, 0, SLICE_BYTES):
             raw, starts, ends, _ = pretokens(batch.column(0))
             keys, first, seen = np.unique(hash_spans(raw, starts, ends, _SAME), return_index=True, return_counts=True)
             texts = [raw[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
@@ -80,10 +83,12 @@ def piece_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
+        # Spark already runs a task per core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = Tokenizer.from_str(definition.value)
         model.no_truncation()
         model.no_padding()
-        for batch in bounded(batches, 1, 1 << 20):
+        for batch in bounded(batches, 1, ENCODE_BYTES):
             pieces = [len(one) for one in model.encode_batch(batch.column(1).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pieces, pa.int32())], names=["key", "seen", "pieces"])
 
@@ -104,16 +109,16 @@ def count_tokens(documents: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT,
     sent = pieces if whole else pieces.orderBy(F.desc("seen"), "key").limit(broadcast_pieces)
     table = sent.select("key", "pieces").toArrow()
     keys = table.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    lookup = rows.sparkSession.sparkContext.broadcast(Lookup(keys, table.column("pieces").to_numpy().astype(np.int32)) if len(keys) else None)
+    lookup = rows.sparkSession.sparkContext.broadcast(Lookup(keys, table.column("pieces").to_numpy().astype(np.int32)))
     names, at = rows.columns, rows.columns.index("text")
     added = [StructField("n_tokens", LongType())] + ([] if whole else [StructField("rest", ArrayType(LongType()))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_pieces = lookup.value
-        for batch in bounded(batches, at):
+        for batch in bounded(batches, at, SLICE_BYTES):
             raw, starts, ends, bounds = pretokens(batch.column(at))
             asked, row = hash_spans(raw, starts, ends, _SAME), rows_of(bounds)
-            value, known = known_pieces.find(asked) if known_pieces is not None else (np.zeros(0, np.int32), np.zeros(0, bool))
+            value, known = known_pieces.find(asked)
             total = np.bincount(row, weights=value, minlength=len(batch)).astype(np.int64)
             columns = [*batch.columns, pa.array(total)]
             if not whole:

@@ -200,7 +200,7 @@ def _ratios(documents: DataFrame, weights: DataFrame, broadcast_weights: int) ->
     table = (model if whole else most_seen).toArrow()
     keys = table.column("key").to_numpy().astype(np.int64).view(np.uint64)
     values = np.column_stack([table.column(name).to_numpy().astype(np.float32) for name in ("weight", "excess")])
-    lookup = documents.sparkSession.sparkContext.broadcast(Lookup(keys, values) if len(keys) else None)
+    lookup = documents.sparkSession.sparkContext.broadcast(Lookup(keys, values))
     at, names = documents.columns.index("text"), documents.columns
 
     def add(batches):
@@ -211,11 +211,9 @@ def _ratios(documents: DataFrame, weights: DataFrame, broadcast_weights: int) ->
             rest_rows, rest_keys = [], []
             once = distinct(row, word)
             for where, asked in ((row[once], word[once]), (row, bigram)):
-                met = np.zeros(len(asked), dtype=bool)
-                if known_weights is not None and len(asked):
-                    value, met = known_weights.find(asked)
-                    for total, part in zip(sums, value.T, strict=True):
-                        total += np.bincount(where, weights=part, minlength=count)
+                value, met = known_weights.find(asked)
+                for total, part in zip(sums, value.T, strict=True):
+                    total += np.bincount(where, weights=part, minlength=count)
                 rest_rows.append(where[~met])
                 rest_keys.append(asked[~met])
             n_keys = np.bincount(row, minlength=count).astype(np.int64)
