@@ -6,11 +6,12 @@ from pathlib import Path
 
 import corpus_pipeline
 import pytest
+from compare import connect, from_spark, from_sql
 from plain import contamination, weighted_jaccard, weighted_sets
 from test_exact import base_spans
 
 from __spark_entry__ import oracle_sql, queries
-from affinis.llm.queries import QUERIES
+from affinis.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[2]
@@ -84,5 +85,11 @@ def test_entry_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
-def test_sql_counterparts_are_registered():
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    connection = connect(FOLDER)
+    names, rows = from_spark(queries()[name](spark, FOLDER))
+    expected_names, expected = from_sql(connection, ORACLES[name])
+    connection.close()
+    assert names == expected_names and rows == expected
     assert set(oracle_sql()) <= set(queries())
