@@ -31,8 +31,8 @@ from affinis.llm.frames import pick
 from affinis.runtime import cut_lineage
 
 BITS, RADIUS, BLOCKS = 128, 3, 5
-#: Terms of one piece of a text: with weights up to 4, 16 bits hold the votes.
-PIECE = 8192
+#: Terms of one piece of a text: with weights up to 4, 15 bits hold the votes.
+PIECE = 4096
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LANES = 0x0001000100010001
@@ -160,37 +160,41 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     rows = pick(documents, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    narrow = rows.select("doc_id", "text_hash", half.alias("half")).distinct()
-    follows = cut_lineage(
-        successors(rows)
-        .join(narrow.withColumnRenamed("doc_id", "own_id").withColumnRenamed("text_hash", "own_hash"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
-        .select("doc_id", "text_hash", "next_id", "next_hash", "half")
-    )
-    once = rows.select(F.col("doc_id").alias("from_id"), F.col("text_hash").alias("from_hash"), F.col("text").alias("from_text"))
-    begins = (
-        follows.join(once, F.col("next_id").eqNullSafe(F.col("from_id")) & (F.col("next_hash") == F.col("from_hash")))
-        .select(F.col("doc_id").alias("for_id"), F.col("text_hash").alias("for_hash"), "next_id", "next_hash", F.col("from_text").substr(F.lit(1), F.col("half")).alias("begin"))
-        .dropDuplicates(["for_id", "for_hash"])
-    )
-    both = rows.join(begins, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("text_hash") == F.col("for_hash")))
-    edited = F.concat(F.col("text").substr(F.lit(1), F.col("n_chars").cast("int") - half), F.col("begin"))
-    keys = ["row_no", "doc_id", "text_hash", "n_chars", "next_id", "next_hash", "edited_sha256"]
-    made = both.withColumn("edited", edited).select(
-        F.monotonically_increasing_id().alias("row_no"), *keys[1:-1], F.sha2("edited", 256).alias("edited_sha256"), "text", "edited"
-    )
-    kinds = F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(name).alias("text")) for kind, name in enumerate(("text", "edited")))))
-    prints = fingerprints(made.select(*keys, kinds), *keys, "kind")
-    own, other = F.col("kind") == 0, F.col("kind") == 1
-    paired = cut_lineage(
-        prints.groupBy(*keys).agg(
-            *(F.max(F.when(side, F.col(name))).alias(f"{prefix}{name}") for prefix, side in (("", own), ("edited_", other)) for name in ("high", "low"))
+    narrow = rows.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), half.alias("half")).distinct()
+    order = successors(rows)
+    before = cut_lineage(
+        order.join(narrow, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).select(
+            F.col("next_id").alias("to_id"), F.col("next_hash").alias("to_hash"), F.col("doc_id").alias("for_id"), F.col("text_hash").alias("for_hash"), F.col("half").alias("for_half")
         )
     )
-    nexts = paired.select(
-        F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), F.col("high").alias("next_high"), F.col("low").alias("next_low")
-    ).dropDuplicates(["to_id", "to_hash"])
-    joined = paired.join(nexts, F.col("next_id").eqNullSafe(F.col("to_id")) & (F.col("next_hash") == F.col("to_hash")))
-    joined = joined.join(close_counts(paired.select("high", "low")), ["high", "low"])
+    # Each text goes once to where its predecessor is known, and from there in two parts:
+    # its first half to its own row, its beginning to its predecessor's.
+    placed = rows.join(before, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("text_hash") == F.col("to_hash")))
+
+    def part(own: bool, doc_id: str, text_hash: str, size: Column) -> Column:
+        place = [F.lit(own).alias("own"), F.col(doc_id).alias("doc_id"), F.col(text_hash).alias("text_hash")]
+        return F.struct(*place, "n_chars", F.col("text_hash").alias("part_hash"), F.col("text").substr(F.lit(1), size).alias("part"))
+
+    first_half = F.col("n_chars").cast("int") - half
+    parts = placed.select(F.inline(F.array(part(True, "doc_id", "text_hash", first_half), part(False, "for_id", "for_hash", F.col("for_half")))))
+    own, other = F.col("own"), ~F.col("own")
+    met = parts.groupBy("doc_id", "text_hash").agg(
+        F.count_if(own).alias("copies"),
+        F.max(F.when(own, F.col("n_chars"))).alias("n_chars"),
+        F.max(F.when(other, F.col("n_chars"))).alias("next_chars"),
+        F.max(F.when(other, F.col("part_hash"))).alias("next_hash"),
+        F.concat(F.max(F.when(own, F.col("part"))), F.max(F.when(other, F.col("part")))).alias("text"),
+    )
+    keys = ["doc_id", "text_hash", "n_chars", "copies", "next_chars", "next_hash", "edited_sha256"]
+    edited = fingerprints(met.withColumn("edited_sha256", F.sha2("text", 256)), *keys)
+    edited = edited.withColumnsRenamed({"high": "edited_high", "low": "edited_low"})
+    # Equal texts have one fingerprint, so they need not be told apart.
+    numbered = rows.select(F.monotonically_increasing_id().alias("row_no"), "text_hash", "n_chars", "text")
+    prints = cut_lineage(fingerprints(numbered, "row_no", "text_hash", "n_chars").drop("row_no").distinct())
+    nexts = prints.select(*(F.col(name).alias(f"next_{name}") for name in ("high", "low")), F.col("text_hash").alias("next_hash"), F.col("n_chars").alias("next_chars"))
+    joined = edited.join(prints, ["text_hash", "n_chars"]).join(nexts, ["next_hash", "next_chars"])
+    joined = cut_lineage(joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    joined = joined.join(close_counts(joined.select("high", "low")), ["high", "low"])
 
     def text_of(high: str, low: str) -> Column:
         return F.lower(F.concat(*(F.lpad(F.hex(name), 16, "0") for name in (high, low))))

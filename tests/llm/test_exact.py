@@ -271,3 +271,30 @@ def test_warc_derivatives(spark):
     metadata = next(parse(r.record)[1].decode() for r in found if r.record_type == "metadata" and r.page_id == 1)
     assert metadata.split("\r\n")[:2] == ["http-status: HTTP/1.1 200 OK", "http-header: Content-Type: text/html; charset=utf-8"]
     assert "title: A & B\r\nlanguage: en\r\noutlink: /x?a=1&b\r\n" in metadata
+
+
+def test_votes_of_long_and_of_many_equal_texts(spark):
+    long = " ".join(f"internationalisation{k % 97}" for k in range(30_000))
+    rows = [(k, "one and the same text with a few words") for k in range(3000)] + [(5000, long), (5001, long)]
+    found = fingerprints.edited_fingerprints(spark.createDataFrame(rows, TEXTS)).collect()
+    assert len(found) == 3002
+    prints = {r.doc_id: r.fingerprint for r in found}
+    alone = fingerprints.edited_fingerprints(spark.createDataFrame([(0, rows[0][1]), (1, long)], TEXTS)).collect()
+    assert {prints[k] for k in range(3000)} == {next(r.fingerprint for r in alone if r.doc_id == 0)}
+    assert prints[5000] == prints[5001] == next(r.fingerprint for r in alone if r.doc_id == 1)
+    # The votes themselves, counted one by one.
+    own = spark.createDataFrame([(1, long)], "k int, text string")
+    votes = [0] * 128
+    for row in own.select(F.explode(fingerprints.terms(F.col("text"))).alias("t")).select("t", F.xxhash64("t", F.lit(1)).alias("a"), F.xxhash64("t").alias("b")).collect():
+        weight = (row.t & 3) + 1
+        for bit in range(64):
+            votes[bit] += weight if row.a >> bit & 1 else -weight
+            votes[64 + bit] += weight if row.b >> bit & 1 else -weight
+    value = sum((votes[bit] > 0) << bit for bit in range(64)) << 64 | sum((votes[64 + bit] > 0) << bit for bit in range(64))
+    assert prints[5000] == f"{value:032x}"
+
+
+def test_rules_of_fingerprints_hold_for_words(spark):
+    texts = spark.createDataFrame([("The cat",), ("the CAT!",), ("cat the",), ("",)], "text string")
+    hashes = [tuple(r[0]) for r in texts.select(fingerprints.terms(F.col("text"))).collect()]
+    assert hashes[0] == hashes[1] != hashes[2] and hashes[3] == () and len(hashes[0]) == 2
