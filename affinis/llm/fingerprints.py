@@ -51,8 +51,11 @@ def terms(text: Column) -> Column:
     return F.element_at(pairs, 1)
 
 
-def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, high and low: the two longs of the fingerprint of each text; ``keys`` must be unique."""
+def fingerprints(texts: DataFrame, *keys: str, together: bool = False) -> DataFrame:
+    """``keys``, high and low: the two longs of the fingerprint of each text; ``keys`` must be unique.
+
+    ``together``: equal keys are in one partition already.
+    """
     pieces = texts.select(*keys, F.posexplode_outer(terms(F.col("text"))).alias("at", "term"))
     pieces = pieces.select(*keys, (F.col("at") / PIECE).cast("int").alias("piece"), "term", F.xxhash64("term").alias("second"))
     weight = F.col("term").bitwiseAND(F.lit(3)) + 1
@@ -65,6 +68,8 @@ def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
         for shift in range(16)
     ]
     counted = votes.groupBy(*keys, "piece").agg(F.sum("weight").alias("weight"), *lanes)
+    if not together:  # the packed votes are moved, not the four times wider ones below
+        counted = counted.repartition(*keys)
     wide = [
         F.sum(F.shiftrightunsigned(f"{name}_{shift}", 16 * lane).bitwiseAND(F.lit(0xFFFF))).alias(f"{name}_{shift}_{lane}")
         for name in ("first", "second")
@@ -186,7 +191,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
         F.concat(F.max(F.when(own, F.col("part"))), F.max(F.when(other, F.col("part")))).alias("text"),
     )
     keys = ["doc_id", "text_hash", "n_chars", "copies", "next_chars", "next_hash", "edited_sha256"]
-    edited = fingerprints(met.withColumn("edited_sha256", F.sha2("text", 256)), *keys)
+    edited = fingerprints(met.withColumn("edited_sha256", F.sha2("text", 256)), *keys, together=True)
     edited = edited.withColumnsRenamed({"high": "edited_high", "low": "edited_low"})
     # Equal texts have one fingerprint, so they need not be told apart.
     numbered = rows.select(F.monotonically_increasing_id().alias("row_no"), "text_hash", "n_chars", "text")

@@ -175,6 +175,5 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], vocabulary: int =
         "tokens",
     )
     judged = cut_lineage(judged)
-    small = fits(judged, BROADCAST_TOKENS)
     same = (rows["host"] == F.col("host_key")) & (rows["path"] == F.col("path_key"))
-    return rows.join(broadcast_if(judged, small), same).drop("host_key", "path_key")
+    return rows.join(judged, same).drop("host_key", "path_key")
