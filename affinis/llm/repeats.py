@@ -56,6 +56,8 @@ KINDS = 20_000
 PARTS = 8
 #: Documents with repeats that are told to all tasks, so that the others need no shuffle.
 BROADCAST_DOCUMENTS = 1_000_000
+#: Partitions that rows of one seed are dealt to.
+SALTS = 32
 #: Batches of a one-off search.
 BATCHES = 4
 _U64 = np.uint64
@@ -170,7 +172,12 @@ def suffix_array(documents: DataFrame) -> DataFrame:
             )
 
     schema = "seed long, stretch long, k1 long, k2 int, low long, more int, ahead int"
-    return documents.select("k1", "k2", "text").mapInArrow(find, schema).repartition("seed").sortWithinPartitions("seed", "stretch")
+    return _sorted(documents.select("k1", "k2", "text").mapInArrow(find, schema))
+
+
+def _sorted(suffixes: DataFrame) -> DataFrame:
+    """In order within partitions; a seed that very many texts share is dealt to several."""
+    return suffixes.repartition("seed", F.pmod("k1", F.lit(SALTS))).sortWithinPartitions("seed", "stretch")
 
 
 class SuffixArrayFamily:
@@ -191,8 +198,7 @@ class SuffixArrayFamily:
         self.levels.append((1, fresh))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, left), (_, right) = self.levels[-2:]
-            merged = left.unionByName(right).repartition("seed").sortWithinPartitions("seed", "stretch")
-            self.levels[-2:] = [(2 * size, cut_lineage(merged))]
+            self.levels[-2:] = [(2 * size, cut_lineage(_sorted(left.unionByName(right))))]
 
     def matches(self) -> DataFrame:
         """All anchors whose seed occurs more than once."""
@@ -201,7 +207,8 @@ class SuffixArrayFamily:
             suffixes = suffixes.unionByName(level)
         for more in self._repeated[1:]:
             seeds = seeds.unionByName(more)
-        return suffixes.join(seeds.distinct(), "seed", "left_semi")
+        # A written table on the other side lets Spark split the rows of a hot seed.
+        return suffixes.join(cut_lineage(seeds.distinct()), "seed", "left_semi")
 
 
 def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +218,7 @@ def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = cut_lineage(kinds)
     twice = kinds.filter("times > 1").select("seed", "stretch")
     marks = rows.join(twice, ["seed", "stretch"], "left_semi").select("k1", "k2", "low", "more")
-    several = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    several = cut_lineage(kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
     names = [name for name in ("ahead", "text") if name in rows.columns]
     return marks, kinds.select("seed", "stretch", "one.*", *names).join(several, "seed")
 
