@@ -1,6 +1,8 @@
 """Near duplicates by consistent weighted sampling over TF-IDF shingles.
 
-A text is the weighted set of its five-word shingles, weight tf * idf. Each of
+A text is the weighted set of its five-word shingles, weight tf * idf, with
+inverse document frequencies scaled to 1 (in all texts) to 2 (in one): what a
+group of copies shares must not count for nothing against an edit. Each of
 ``HASHES`` samples of improved consistent weighted sampling agrees between two
 texts with a probability equal to their weighted Jaccard similarity. Bands of
 ``ROWS`` samples give candidates; the similarity of every pair that may join
@@ -14,10 +16,12 @@ and verification use the same weights.
 
 Equal texts are one text throughout. In a bucket every text is compared with a
 leader; texts of one class need no further comparison. Two more rounds with
-other leaders follow, comparing only across classes, and then all pairs across
-classes that still share a bucket. Buckets with more than ``LARGE_BUCKET``
+other leaders compare only across classes. Then follow all pairs across classes
+that still share a bucket and agree in as many samples as all but one in a
+thousand similar pairs do. Buckets with more than ``LARGE_BUCKET``
 classes are divided by a second band first: similar texts share several bands,
-texts that share one passage do not.
+texts that share one passage do not. Their texts also get more samples, so that
+pairs of a large group that are not quite similar enough are told apart early.
 
 Defined cases: null and texts without words are in no group but their own, with
 equal non-empty texts together; texts of under five words are one shingle;
@@ -28,11 +32,13 @@ input column named like an output column is replaced.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm.components import component_labels
@@ -47,7 +53,9 @@ HASHES = ROWS * BANDS
 #: Slots of the document-frequency table.
 SLOT_BITS = 20
 SLOT_BLOCK = 1 << 14
-LARGE_BUCKET = 200
+LARGE_BUCKET = 50
+#: Further samples of the texts in large buckets, of one bit each.
+LONG_BITS = 1536
 #: Ids that are sent to all tasks instead of being joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Quantile tables of the random variables that the samples draw from.
@@ -66,7 +74,8 @@ class Frequencies:
 
     def idf(self, shingles: np.ndarray) -> np.ndarray:
         found = self.slots[(shingles >> _U64(64 - SLOT_BITS)).astype(np.int64)]
-        return np.log((1.0 + self.texts) / np.maximum(1.0, found)) + 1.0
+        rarity = np.log((1.0 + self.texts) / np.clip(found, 1, max(1, self.texts)))
+        return 1.0 + rarity / np.log(1.0 + max(1, self.texts))
 
 
 def shingles(column: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +156,14 @@ def _gamma_quantiles() -> np.ndarray:
     return x
 
 
-def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
-    """``rows`` x HASHES sample codes; rows without shingles get zeros."""
+def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int, count: int = HASHES, skip: int = 0) -> np.ndarray:
+    """``rows`` x ``count`` sample codes, those numbered ``skip`` and on; rows without shingles get zeros."""
     gamma = _gamma_quantiles()
     r_table, log_c_table = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
     unit = ((np.arange(QUANTILES) + 0.5) / QUANTILES).astype(np.float32)
     low = _U64(QUANTILES - 1)
-    out = np.zeros((rows, HASHES), dtype=np.int64)
-    seeds = mix(np.arange(1, HASHES + 1, dtype=_U64)) | _U64(1)
+    out = np.zeros((rows, count), dtype=np.int64)
+    seeds = mix(np.arange(1 + skip, 1 + skip + count, dtype=_U64)) | _U64(1)
     log_w = np.log(weight).astype(np.float32)
     edges = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, dtype=np.int64)
     ends = np.append(edges[1:], len(row))
@@ -165,7 +174,7 @@ def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int) ->
         first, size = edges[at:stop] - edges[at], ends[at:stop] - edges[at:stop]
         k, lw = key[span], log_w[span]
         group = np.repeat(np.arange(stop - at), size)
-        for j in range(HASHES):
+        for j in range(count):
             bits = k * seeds[j]
             bits ^= bits >> _U64(29)
             bits *= _U64(0xBF58476D1CE4E5B9)
@@ -195,9 +204,10 @@ def _sketches(texts: DataFrame, frequencies) -> DataFrame:
             batch = batch.take(pa.array([at for at, name in enumerate(names) if not (name in seen or seen.add(name))], pa.int64()))
             row, key, weight = weighted_sets(batch.column(1), table)
             codes = samples(row, key, weight, len(batch))
+            # A band is one long: 16 bits of each of its samples.
             bands = np.zeros((len(batch), BANDS), dtype=_U64)
             for j in range(ROWS):
-                bands = mix(bands * _U64(0x100000001B3) + codes[:, j::ROWS][:, :BANDS].view(_U64))
+                bands = (bands << _U64(16)) | (codes[:, j::ROWS].view(_U64) & _U64(0xFFFF))
             some = np.unique(row)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands[some].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists], names=["id", "bands"])
@@ -248,53 +258,110 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
-def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each member of a bucket with the bucket's leader of this turn, across classes only."""
+def _agreeing(x: str, y: str) -> Column:
+    """Samples in which two arrays of bands agree."""
+    apart = [F.col(x)[at].bitwiseXOR(F.col(y)[at]) for at in range(BANDS)]
+    lanes = ((F.shiftrightunsigned(bits, 16 * row).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int") for bits in apart for row in range(ROWS))
+    return reduce(lambda total, one: total + one, lanes)
+
+
+def _leader_pairs(members: DataFrame, sketches: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Each member of a bucket with the bucket's leader of this turn, across classes, if enough samples agree."""
     order = F.struct(F.xxhash64("id", F.lit(turn)).alias("at"), "id", "class")
     leaders = members.groupBy("bucket").agg(F.min(order).alias("leader"))
-    return (
+    pairs = (
         members.join(leaders, "bucket")
         .filter(F.col("leader.class") != F.col("class"))
-        .select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"))
+        .select(F.least("id", "leader.id").alias("first"), F.greatest("id", "leader.id").alias("second"))
         .distinct()
     )
+    bands = cut_lineage(_only(sketches, cut_lineage(members.select("id").distinct())).dropDuplicates(["id"]))
+    left = bands.select(F.col("id").alias("first"), F.col("bands").alias("x"))
+    right = bands.select(F.col("id").alias("second"), F.col("bands").alias("y"))
+    enough = _agreeing("x", "y") >= least_agreement(similarity)
+    return pairs.join(left, "first").join(right, "second").filter(enough).select(F.col("first").alias("a"), F.col("second").alias("b"))
+
+
+def _divided(large: DataFrame, texts: DataFrame, frequencies) -> DataFrame:
+    """The rows of large buckets, divided by every later band of their members, with their long sketches."""
+    ids = cut_lineage(large.select("id").distinct())
+    long = cut_lineage(_long_sketches(_only(texts, ids), frequencies))
+    spread = large.drop("long").join(long, "id")
+    spread = spread.select("id", "class", "bands", "band", "long", F.col("bucket").alias("outer"), F.posexplode("bands").alias("second", "key"))
+    spread = spread.filter("second > band")
+    return _several(cut_lineage(spread.select(F.xxhash64("outer", "second", "key").alias("bucket"), "id", "class", "bands", "band", "second", "long")))
+
+
+def _long_sketches(texts: DataFrame, frequencies) -> DataFrame:
+    """(id, long): one bit of each of LONG_BITS further samples."""
+
+    def sketch(batches):
+        table = frequencies.value
+        for batch in bounded(batches, 1, 1 << 20):
+            row, key, weight = weighted_sets(batch.column(1), table)
+            bits = samples(row, key, weight, len(batch), LONG_BITS, HASHES) & 1
+            packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "long"])
+
+    return texts.select("id", "text").mapInArrow(sketch, "id binary, long array<long>")
+
+
+def most_differing(similarity: float) -> int:
+    """Bits of a long sketch in which all but about one in a thousand pairs of this similarity differ at most.
+
+    One bit of two samples is equal if the samples are, and else half the time.
+    """
+    apart = (1 - similarity) / 2
+    return math.ceil(LONG_BITS * apart + 3.2 * math.sqrt(LONG_BITS * apart * (1 - apart)))
+
 
+def least_agreement(similarity: float) -> int:
+    """Samples in which all but about one in a thousand pairs of this similarity agree."""
+    return max(ROWS, math.floor(HASHES * similarity - 3.2 * math.sqrt(HASHES * similarity * (1 - similarity))))
 
-def _divided(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The rows of large buckets, divided by every other band of their members."""
-    bands = _only(sketches, cut_lineage(large.select("id").distinct())).dropDuplicates(["id"])
-    spread = large.join(bands, "id").select("id", "class", F.col("bucket").alias("outer"), F.posexplode("bands").alias("band", "key"))
-    spread = spread.filter(F.xxhash64("band", "key") != F.col("outer"))
-    return _several(cut_lineage(spread.select(F.xxhash64("outer", "band", "key").alias("bucket"), "id", "class")))
 
+def _remaining_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame, frequencies, similarity: float) -> DataFrame:
+    """Pairs across classes that share a bucket and agree in enough samples; large buckets are divided first.
 
-def _remaining_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs across classes in the small buckets; the large ones are divided first."""
+    A pair comes from the first band that it shares, of a divided bucket from
+    the next one that it shares, so it comes once.
+    """
+    bands = _only(sketches, cut_lineage(members.select("id").distinct())).dropDuplicates(["id"])
+    rows = members.join(bands, "id").withColumn("second", F.lit(-1)).withColumn("long", F.lit(None).cast("array<long>"))
     sizes = members.groupBy("bucket").agg(F.approx_count_distinct("class").alias("size"))
-    large = cut_lineage(members.join(sizes.filter(F.col("size") > LARGE_BUCKET).select("bucket"), "bucket", "left_semi"))
-    rows = members
-    if not large.isEmpty():
-        rows = members.join(large.select("bucket").distinct(), "bucket", "left_anti").unionByName(_divided(large, sketches))
-    other = rows.select("bucket", F.col("id").alias("b"), F.col("class").alias("other"))
-    return (
-        rows.withColumnRenamed("id", "a")
-        .join(other, "bucket")
-        .filter(F.col("class") < F.col("other"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    big = cut_lineage(sizes.filter(F.col("size") > LARGE_BUCKET).select("bucket"))
+    if not big.isEmpty():
+        divided = _divided(rows.join(big, "bucket", "left_semi"), texts, frequencies)
+        rows = rows.join(big, "bucket", "left_anti").unionByName(divided)
+    rows = cut_lineage(rows)
+    left = rows.select("bucket", "band", "second", F.col("id").alias("a"), "class", F.col("bands").alias("x"), F.col("long").alias("long_x"))
+    right = rows.select(F.col("bucket").alias("other_bucket"), F.col("id").alias("b"), F.col("class").alias("other"), F.col("bands").alias("y"), F.col("long").alias("long_y"))
+    apart = [F.col("x")[at].bitwiseXOR(F.col("y")[at]) for at in range(BANDS)]
+    shared = F.coalesce(*(F.when(bits == 0, F.lit(at)) for at, bits in enumerate(apart)))
+    next_shared = F.coalesce(*(F.when((bits == 0) & (F.col("band") < at), F.lit(at)) for at, bits in enumerate(apart)), F.lit(-1))
+    differing = reduce(lambda total, one: total + one, (F.bit_count(F.col("long_x")[at].bitwiseXOR(F.col("long_y")[at])) for at in range(LONG_BITS // 64)))
+    candidate = (
+        (F.col("bucket") == F.col("other_bucket"))
+        & (F.col("class") < F.col("other"))
+        & (F.col("band") == shared)
+        & ((F.col("second") == -1) | (F.col("second") == next_shared))
+        & (_agreeing("x", "y") >= least_agreement(similarity))
+        & ((F.col("second") == -1) | (differing <= most_differing(similarity)))
     )
+    return left.join(right, candidate).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _links(texts: DataFrame, frequencies, similarity: float, rounds: int) -> DataFrame:
     """Rows (id, class): the texts (id, text) in classes of more than one."""
     sketches = cut_lineage(_sketches(texts, frequencies))
-    spread = sketches.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "id")
+    spread = sketches.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "id")
     members = cut_lineage(_several(spread.withColumn("class", F.col("id"))).distinct())
     # Only texts that meet another one in some bucket are looked at again.
     texts = cut_lineage(_only(texts, cut_lineage(members.select("id").distinct())).dropDuplicates(["id"]))
     links, classes = None, None
     for turn in range(rounds + 1):
-        pairs = _leader_pairs(members, turn) if turn < rounds else _remaining_pairs(members, sketches)
+        pairs = _leader_pairs(members, sketches, turn, similarity) if turn < rounds else _remaining_pairs(members, sketches, texts, frequencies, similarity)
         pairs, count = cut_lineage_counting(pairs)
         found, count = cut_lineage_counting(_similar(pairs, texts, frequencies, similarity)) if count else (None, 0)
         if count:
@@ -329,7 +396,7 @@ def _keepers(classes: DataFrame) -> DataFrame:
     return classes.groupBy("class").agg(F.min(order).alias("keeper"), F.count(F.lit(1)).alias("class_rows"))
 
 
-def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY, rounds: int = 3) -> DataFrame:
     """One row per row of ``documents``: doc_id, class_id, class_rows and is_representative.
 
     class_id is the smallest doc_id of the class; rows without a text have
@@ -350,7 +417,7 @@ def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY,
     return marked.unionByName(alone)
 
 
-def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, rounds: int = 3) -> DataFrame:
     """``documents`` with one row of each class; rows without a text stay."""
     named = _named(documents)
     keepers = _keepers(_classes(named, similarity, rounds)).select("keeper.text_id", F.col("keeper.doc_id").alias("keeper"))

@@ -45,7 +45,8 @@ def weighted_sets(texts: list[str], width: int = 5) -> list[dict]:
         own = words(text)
         counts.append(collections.Counter(tuple(own[k : k + width]) for k in range(max(1, len(own) - width + 1))) if own else {})
     found = collections.Counter(shingle for one in counts for shingle in one)
-    return [{s: n * (math.log((1 + len(texts)) / found[s]) + 1) for s, n in one.items()} for one in counts]
+    scale = math.log(1 + max(1, len(texts)))
+    return [{s: n * (1 + math.log((1 + len(texts)) / found[s]) / scale) for s, n in one.items()} for one in counts]
 
 
 def weighted_jaccard(a: dict, b: dict) -> float:
