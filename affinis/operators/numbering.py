@@ -51,16 +51,25 @@ def apply_id_map(
     raw: str,
     rows_per_slice: int = ROWS_PER_SLICE,
     table_rows: int | None = None,
+    counted: tuple[DataFrame | None] | None = None,
 ) -> DataFrame:
-    """Replace ``raw`` by its number; rows without a number are dropped."""
-    heavy = heavy_keys(row_counts(rows, raw), raw, "n", rows_per_slice, table_rows)
+    """Replace ``raw`` by its number; rows without a number are dropped.
+
+    ``counted`` wraps the heavy keys (or None for none) where they are known
+    from counts of these rows or of more; otherwise the rows are counted.
+    """
+    heavy = counted[0] if counted else heavy_keys(row_counts(rows, raw), raw, "n", rows_per_slice, table_rows)
     return skew_join(rows, id_map, raw, "inner", heavy).drop(raw)
 
 
 def reindex(
     interactions: DataFrame, rows_per_slice: int = ROWS_PER_SLICE
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(numbered interactions, user map, item map) over all identifiers present."""
+    """(numbered interactions, user map, item map) over all identifiers present.
+
+    The source is read once and written as a table; the steps read that.
+    """
+    interactions = cut_lineage(interactions)
     users = number_ids(interactions, "user_raw", "user_id")
     items = number_ids(interactions, "item_raw", "item_id")
     numbered = apply_id_map(interactions, users, "user_raw", rows_per_slice)

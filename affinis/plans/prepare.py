@@ -52,25 +52,28 @@ def prepare(
     pairs, table_rows = cut_lineage_counting(pair_counts(binarize(interactions, rating_threshold)))
     filtered = min_user_interactions > 0 or min_item_interactions > 0
     sampled = subsample_frac < 1.0
+    heavy_users = heavy_items = None
     if filtered:
         sides = peel(
             pairs, "user_raw", "item_raw", min_user_interactions, min_item_interactions, rows_per_slice, table_rows
         )
         users, items = (side.survivors() for side in sides)
+        # Counted once, over all pairs; what is left of a key never needs more slices.
+        heavy_users, heavy_items = ((side.heavy,) for side in sides)
     else:
         universe = pairs if sampled else interactions
         users, items = (universe.select(raw).distinct() for raw in ("user_raw", "item_raw"))
     if sampled:
         users = subsample_users(users, subsample_frac, seed)
     user_map, num_users = count_and_number(users, "user_raw", "user_id")
-    numbered = apply_id_map(pairs, user_map, "user_raw", rows_per_slice, table_rows)
+    numbered = apply_id_map(pairs, user_map, "user_raw", rows_per_slice, table_rows, heavy_users)
     if sampled:
         # The sample may leave items of the core without any row.
-        heavy = heavy_keys(row_counts(numbered, "item_raw"), "item_raw", "n", rows_per_slice, table_rows)
+        heavy = heavy_items[0] if heavy_items else heavy_keys(row_counts(numbered, "item_raw"), "item_raw", "n", rows_per_slice, table_rows)
         numbered = cut_lineage(skew_join(numbered, items, "item_raw", "left_semi", heavy))
         items = numbered.select("item_raw").distinct()
     item_map, num_items = count_and_number(items, "item_raw", "item_id")
-    numbered = cut_lineage(apply_id_map(numbered, item_map, "item_raw", rows_per_slice, table_rows))
+    numbered = cut_lineage(apply_id_map(numbered, item_map, "item_raw", rows_per_slice, table_rows, heavy_items))
     test = cut_lineage(last_items(numbered))
     return Prepared(
         train=cut_lineage(without_test(numbered, test)),
