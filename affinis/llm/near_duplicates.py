@@ -19,9 +19,9 @@ leader; texts of one class need no further comparison. Two more rounds with
 other leaders compare only across classes. Then follow all pairs across classes
 that still share a bucket and agree in as many samples as all but one in a
 thousand similar pairs do. Buckets with more than ``LARGE_BUCKET``
-classes are divided by a second band first: similar texts share several bands,
-texts that share one passage do not. Their texts also get more samples, so that
-pairs of a large group that are not quite similar enough are told apart early.
+classes are joined whole too, in tiles of ``TILE`` by ``TILE`` texts. Their
+texts also get more samples, so that pairs of a large group that are not quite
+similar enough are told apart early.
 
 Defined cases: null and texts without words are in no group but their own, with
 equal non-empty texts together; texts of under five words are one shingle;
@@ -54,6 +54,8 @@ HASHES = ROWS * BANDS
 SLOT_BITS = 20
 SLOT_BLOCK = 1 << 14
 LARGE_BUCKET = 50
+#: Texts on each side of a tile of a large bucket, about.
+TILE = 512
 #: Further samples of the texts in large buckets, of one bit each.
 LONG_BITS = 1536
 #: Ids that are sent to all tasks instead of being joined by shuffle.
@@ -282,14 +284,12 @@ def _leader_pairs(members: DataFrame, sketches: DataFrame, turn: int, similarity
     return pairs.join(left, "first").join(right, "second").filter(enough).select(F.col("first").alias("a"), F.col("second").alias("b"))
 
 
-def _divided(large: DataFrame, texts: DataFrame, frequencies) -> DataFrame:
-    """The rows of large buckets, divided by every later band of their members, with their long sketches."""
-    ids = cut_lineage(large.select("id").distinct())
-    long = cut_lineage(_long_sketches(_only(texts, ids), frequencies))
-    spread = large.drop("long").join(long, "id")
-    spread = spread.select("id", "class", "bands", "band", "long", F.col("bucket").alias("outer"), F.posexplode("bands").alias("second", "key"))
-    spread = spread.filter("second > band")
-    return _several(cut_lineage(spread.select(F.xxhash64("outer", "second", "key").alias("bucket"), "id", "class", "bands", "band", "second", "long")))
+def _tiled(rows: DataFrame, side: str) -> DataFrame:
+    """``rows`` with the tiles that they are on this side of, of all pairs of blocks of their bucket."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    tiled = rows.withColumn("across", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first, second = (own, F.col("across")) if side == "left" else (F.col("across"), own)
+    return tiled.withColumn("tile", F.struct(first.alias("first"), second.alias("second"))).drop("blocks", "across")
 
 
 def _long_sketches(texts: DataFrame, frequencies) -> DataFrame:
@@ -322,32 +322,36 @@ def least_agreement(similarity: float) -> int:
 
 
 def _remaining_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame, frequencies, similarity: float) -> DataFrame:
-    """Pairs across classes that share a bucket and agree in enough samples; large buckets are divided first.
+    """Pairs across classes that share a bucket and agree in enough samples; large buckets are joined in tiles.
 
-    A pair comes from the first band that it shares, of a divided bucket from
-    the next one that it shares, so it comes once.
+    A pair comes from the first band that it shares and from one tile, so it comes once.
     """
     bands = _only(sketches, cut_lineage(members.select("id").distinct())).dropDuplicates(["id"])
-    rows = members.join(bands, "id").withColumn("second", F.lit(-1)).withColumn("long", F.lit(None).cast("array<long>"))
-    sizes = members.groupBy("bucket").agg(F.approx_count_distinct("class").alias("size"))
-    big = cut_lineage(sizes.filter(F.col("size") > LARGE_BUCKET).select("bucket"))
-    if not big.isEmpty():
-        divided = _divided(rows.join(big, "bucket", "left_semi"), texts, frequencies)
-        rows = rows.join(big, "bucket", "left_anti").unionByName(divided)
+    rows = members.join(bands, "id")
+    sizes = members.groupBy("bucket").agg(F.approx_count_distinct("class").alias("size"), F.count(F.lit(1)).alias("texts"))
+    blocks = F.ceil(F.col("texts") / F.lit(TILE)).cast("int")
+    big = cut_lineage(sizes.filter(F.col("size") > LARGE_BUCKET).select("bucket", blocks.alias("blocks")))
+    single = rows.withColumns({"blocks": F.lit(1), "long": F.lit(None).cast("array<long>")})
+    if big.isEmpty():
+        rows = single
+    else:
+        large = rows.join(big, "bucket")
+        long = cut_lineage(_long_sketches(_only(texts, cut_lineage(large.select("id").distinct())), frequencies))
+        rows = single.join(big.select("bucket"), "bucket", "left_anti").unionByName(large.join(long, "id"))
     rows = cut_lineage(rows)
-    left = rows.select("bucket", "band", "second", F.col("id").alias("a"), "class", F.col("bands").alias("x"), F.col("long").alias("long_x"))
-    right = rows.select(F.col("bucket").alias("other_bucket"), F.col("id").alias("b"), F.col("class").alias("other"), F.col("bands").alias("y"), F.col("long").alias("long_y"))
-    apart = [F.col("x")[at].bitwiseXOR(F.col("y")[at]) for at in range(BANDS)]
-    shared = F.coalesce(*(F.when(bits == 0, F.lit(at)) for at, bits in enumerate(apart)))
-    next_shared = F.coalesce(*(F.when((bits == 0) & (F.col("band") < at), F.lit(at)) for at, bits in enumerate(apart)), F.lit(-1))
+    left = _tiled(rows, "left").select("bucket", "tile", "band", F.col("id").alias("a"), "class", F.col("bands").alias("x"), F.col("long").alias("long_x"))
+    right = _tiled(rows, "right").select(
+        F.col("bucket").alias("other_bucket"), F.col("tile").alias("other_tile"), F.col("id").alias("b"), F.col("class").alias("other"), F.col("bands").alias("y"), F.col("long").alias("long_y")
+    )
+    shared = F.coalesce(*(F.when(F.col("x")[at] == F.col("y")[at], F.lit(at)) for at in range(BANDS)))
     differing = reduce(lambda total, one: total + one, (F.bit_count(F.col("long_x")[at].bitwiseXOR(F.col("long_y")[at])) for at in range(LONG_BITS // 64)))
     candidate = (
         (F.col("bucket") == F.col("other_bucket"))
+        & (F.col("tile") == F.col("other_tile"))
         & (F.col("class") < F.col("other"))
         & (F.col("band") == shared)
-        & ((F.col("second") == -1) | (F.col("second") == next_shared))
         & (_agreeing("x", "y") >= least_agreement(similarity))
-        & ((F.col("second") == -1) | (differing <= most_differing(similarity)))
+        & (F.col("long_x").isNull() | (differing <= most_differing(similarity)))
     )
     return left.join(right, candidate).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -95,6 +95,23 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, large):
     assert all(r.class_rows == sizes[r.class_id] and r.is_representative == (r.doc_id == r.class_id) for r in found)
 
 
+@pytest.mark.parametrize("tile", [512, 4])
+def test_one_shared_band_is_enough_in_large_buckets(spark, monkeypatch, tile):
+    def sketches(texts, _):
+        # All share the first band only, and three of four samples of every other one.
+        own = F.xxhash64("id").bitwiseAND(F.lit(0xFFFF))
+        return texts.select("id", F.array(F.lit(7).cast("long"), *[own] * (near_duplicates.BANDS - 1)).alias("bands"))
+
+    monkeypatch.setattr(near_duplicates, "_sketches", sketches)
+    monkeypatch.setattr(near_duplicates, "LARGE_BUCKET", 1)
+    monkeypatch.setattr(near_duplicates, "TILE", tile, raising=False)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[:at], "changed", *base[at + 1 :]]) for at in range(0, 200, 20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), TEXTS)
+    found = near_duplicates.near_duplicate_classes(rows, rounds=0).collect()
+    assert {(r.class_id, r.class_rows) for r in found} == {(0, 10)}
+
+
 def test_deduplicate_keeps_one_of_each(spark):
     rows = spark.createDataFrame([*copies(), *ODD], TEXTS)
     kept = [r.doc_id for r in near_duplicates.deduplicate(clashing(rows)).collect()]
