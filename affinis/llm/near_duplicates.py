@@ -8,11 +8,11 @@ texts with a probability equal to their weighted Jaccard similarity. Bands of
 ``ROWS`` samples give candidates; the similarity of every pair that may join
 two classes is then computed from the sets themselves.
 
-Document frequencies are counted over all texts in a table of fixed length
-addressed by hash. Shingles that share a slot add up, so a frequency is never
-too low, and too high by no more than a fixed share of the texts whatever their
-number; the inverse frequency of a rare shingle is bounded accordingly. Samples
-and verification use the same weights.
+Document frequencies are counted exactly, per shingle: chunks of texts send
+their distinct shingles, sorted and packed, to ranges of the hash, and get back
+the counts of those that several texts have. A table of fixed length counts by
+hash slot first; it only says where to cut the ranges. Samples and verification
+use the same weights.
 
 Equal texts are one text throughout. In a bucket every text is compared with a
 leader; texts of one class need no further comparison. Two more rounds with
@@ -33,26 +33,33 @@ input column named like an output column is replaced.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinis.llm.components import component_labels
 from affinis.llm.frames import broadcast_if, fits, without_clashes
-from affinis.llm.text import bounded, distinct, mix, rows_of, words
+from affinis.llm.text import bounded, distinct, mix, rows_of, utf8, words
 from affinis.runtime import cut_lineage, cut_lineage_counting
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 12
 HASHES = ROWS * BANDS
-#: Slots of the document-frequency table.
+#: Slots of the table by which shingles are dealt to ranges.
 SLOT_BITS = 20
 SLOT_BLOCK = 1 << 14
+#: Bytes of text whose shingles are packed together.
+CHUNK_BYTES = 4 << 20
+#: Pairs of a text and a shingle in one range of hashes, about.
+RANGE_PAIRS = 1 << 21
 LARGE_BUCKET = 50
 #: Texts on each side of a tile of a large bucket, about.
 TILE = 512
@@ -69,15 +76,25 @@ _U64 = np.uint64
 
 @dataclass(frozen=True)
 class Frequencies:
-    """Document frequencies by hash slot, and the number of texts counted."""
+    """Pairs of a text and a shingle by hash slot, and the number of texts counted."""
 
     slots: np.ndarray
     texts: int
 
-    def idf(self, shingles: np.ndarray) -> np.ndarray:
-        found = self.slots[(shingles >> _U64(64 - SLOT_BITS)).astype(np.int64)]
-        rarity = np.log((1.0 + self.texts) / np.clip(found, 1, max(1, self.texts)))
-        return 1.0 + rarity / np.log(1.0 + max(1, self.texts))
+    def idf(self, counts: np.ndarray) -> np.ndarray:
+        """Of shingles that are in so many texts each."""
+        return idf(counts, self.texts)
+
+    def edges(self) -> np.ndarray:
+        """First hashes of consecutive ranges of about RANGE_PAIRS pairs, whole slots each."""
+        before = np.cumsum(self.slots) - self.slots
+        first = np.flatnonzero(np.diff(before // RANGE_PAIRS, prepend=-1))
+        return first.astype(_U64) << _U64(64 - SLOT_BITS)
+
+
+def idf(counts: np.ndarray, texts: int) -> np.ndarray:
+    rarity = np.log((1.0 + texts) / np.clip(counts, 1, max(1, texts)))
+    return 1.0 + rarity / np.log(1.0 + max(1, texts))
 
 
 def shingles(column: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -97,18 +114,24 @@ def shingles(column: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarray,
     return rows_of(bounds)[whole], mix(total[whole])
 
 
-def weighted_sets(column: pa.Array, frequencies: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, weight), by row and shingle."""
+def _counted_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, occurrences), by row and shingle."""
     row, key = shingles(column)
     if not len(row):
-        return row, key, np.zeros(0, dtype=np.float32)
+        return row, key, row
     order = np.lexsort((key, row))
     row, key = row[order], key[order]
     new = np.ones(len(row), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
     first = np.flatnonzero(new)
-    tf = np.diff(np.append(first, len(row)))
-    return row[first], key[first], (tf * frequencies.idf(key[first])).astype(np.float32)
+    return row[first], key[first], np.diff(np.append(first, len(row)))
+
+
+def weighted_sets(column: pa.Array, counts: pa.Array, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, weight), by row and shingle; ``counts`` as from ``_sketches``."""
+    row, key, tf = _counted_sets(column)
+    found = utf8(counts)[0].view("<i4")
+    return row, key, (tf * idf(found, texts)).astype(np.float32)
 
 
 def document_frequencies(texts: DataFrame) -> Frequencies:
@@ -149,6 +172,90 @@ def document_frequencies(texts: DataFrame) -> Frequencies:
     return Frequencies(slots, seen)
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """Ascending hashes: steps, by byte, so that the leading zeros compress."""
+    return np.diff(keys, prepend=_U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(packed: list[bytes]) -> np.ndarray:
+    parts = [np.cumsum(np.ascontiguousarray(np.frombuffer(one, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=_U64) for one in packed]
+    return np.concatenate([np.zeros(0, dtype=_U64), *parts])
+
+
+def _counts_of(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype="<i4").astype(np.int64)
+
+
+def _chunks(texts: DataFrame) -> DataFrame:
+    """(chunk, id, text, n) of ``texts`` (id, text): equal texts of a chunk once, with their number."""
+
+    def cut(batches):
+        at, task = 0, TaskContext.get().partitionId()
+        for batch in bounded(batches, 1, CHUNK_BYTES):
+            names = batch.column(0).to_pylist()
+            times = Counter(names)
+            first = {name: place for place, name in reversed(list(enumerate(names)))}
+            one = batch.take(pa.array([first[name] for name in times], pa.int64()))
+            chunk = pa.array(np.full(len(one), task << 32 | at, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([chunk, *one.columns, pa.array(times.values(), pa.int64())], names=["chunk", "id", "text", "n"])
+            at += 1
+
+    return texts.select("id", "text").mapInArrow(cut, "chunk long, id binary, text string, n long")
+
+
+def _packs(chunks: DataFrame, edges: np.ndarray) -> DataFrame:
+    """(part, chunk, keys, counts): the distinct shingles of each chunk by range, with the number of texts that have them."""
+
+    def pack(batches):
+        for batch in bounded(batches, 1):
+            chunk = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                own = batch.slice(start, stop - start)
+                row, key, _ = _counted_sets(own.column(1))
+                order = np.argsort(key)
+                key, times = key[order], own.column(2).to_numpy()[row[order]]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+                counts = np.add.reduceat(times, first).astype("<i4") if len(key) else times
+                key = key[first]
+                bounds = np.append(np.searchsorted(key, edges), len(key))
+                used = np.flatnonzero(np.diff(bounds)).tolist()
+                spans = [slice(bounds[part], bounds[part + 1]) for part in used]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used, pa.int32()),
+                        pa.array([int(chunk[start])] * len(used), pa.int64()),
+                        pa.array([_pack(key[span]) for span in spans], pa.binary()),
+                        pa.array([counts[span].tobytes() for span in spans], pa.binary()),
+                    ],
+                    names=["part", "chunk", "keys", "counts"],
+                )
+
+    return chunks.select("chunk", "text", "n").mapInArrow(pack, "part int, chunk long, keys binary, counts binary")
+
+
+def _shared_counts(table: pa.Table) -> pa.Table:
+    """Of one range: the shingles of each chunk that more than one text has, with their counts over all chunks."""
+    packed = table["keys"].to_pylist()
+    keys, counts = _unpack(packed), _counts_of(table["counts"].to_pylist())
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    total = np.empty(len(keys), dtype=np.int64)
+    total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(keys))))
+    rows = {"chunk": [], "keys": [], "counts": []}
+    at = 0
+    for chunk, one in zip(table["chunk"].to_pylist(), packed, strict=True):
+        span = slice(at, at + len(one) // 8)
+        at = span.stop
+        several = total[span] > 1
+        if several.any():
+            rows["chunk"].append(chunk)
+            rows["keys"].append(_pack(keys[span][several]))
+            rows["counts"].append(total[span][several].astype("<i4").tobytes())
+    return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "keys": pa.array(rows["keys"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
+
+
 def _gamma_quantiles() -> np.ndarray:
     """Quantiles of the gamma distribution of shape 2, by Newton's method."""
     p = (np.arange(QUANTILES) + 0.5) / QUANTILES
@@ -196,25 +303,57 @@ def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int, cou
     return out
 
 
-def _sketches(texts: DataFrame, frequencies) -> DataFrame:
-    """id and bands of each text that has words; equal texts repeat once per task."""
-
-    def sketch(batches):
-        table, seen = frequencies.value, set()
-        for batch in bounded(batches, 1):
-            names = batch.column(0).to_pylist()
-            batch = batch.take(pa.array([at for at, name in enumerate(names) if not (name in seen or seen.add(name))], pa.int64()))
-            row, key, weight = weighted_sets(batch.column(1), table)
-            codes = samples(row, key, weight, len(batch))
-            # A band is one long: 16 bits of each of its samples.
-            bands = np.zeros((len(batch), BANDS), dtype=_U64)
-            for j in range(ROWS):
-                bands = (bands << _U64(16)) | (codes[:, j::ROWS].view(_U64) & _U64(0xFFFF))
-            some = np.unique(row)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands[some].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), lists], names=["id", "bands"])
-
-    return texts.select("id", "text").mapInArrow(sketch, "id binary, bands array<long>")
+def _bands(codes: np.ndarray) -> np.ndarray:
+    """A band is one long: 16 bits of each of its samples."""
+    bands = np.zeros((len(codes), BANDS), dtype=_U64)
+    for j in range(ROWS):
+        bands = (bands << _U64(16)) | (codes[:, j::ROWS].view(_U64) & _U64(0xFFFF))
+    return bands
+
+
+def _sketched(texts: pa.Table, shared: pa.Table, total: int) -> pa.Table:
+    """id, bands and counts of the texts of one chunk that have words; a shingle that is not ``shared`` is in one text."""
+    keys, found = _unpack(shared["keys"].to_pylist()), _counts_of(shared["counts"].to_pylist())
+    order = np.argsort(keys)
+    keys, found = keys[order], found[order]
+    schema = pa.schema([("id", pa.binary()), ("bands", pa.list_(pa.int64())), ("counts", pa.binary())])
+    out = []
+    for batch in bounded(texts.select(["id", "text"]).combine_chunks().to_batches(), 1):
+        row, key, tf = _counted_sets(batch.column(1))
+        counts = np.ones(len(key), dtype="<i4")
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            counts = np.where(keys[at] == key, found[at], 1).astype("<i4")
+        bands = _bands(samples(row, key, (tf * idf(counts, total)).astype(np.float32), len(batch)))
+        some = np.unique(row)
+        edges = np.searchsorted(row, np.append(some, len(batch)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands[some].reshape(-1).view(np.int64)))
+        column = pa.array([counts[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+        out.append(pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), lists, column], schema=schema))
+    return pa.Table.from_batches(out, schema)
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what is written meanwhile are removed when it is written, not at some later garbage collection."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _sketches(chunks: DataFrame, frequencies: Frequencies) -> DataFrame:
+    """(id, bands, counts) of each text that has words; equal texts repeat once per chunk.
+    counts has, as 32-bit integers, the number of texts with each distinct shingle, by hash."""
+    total = frequencies.texts
+    with _shuffles_dropped(chunks.sparkSession):
+        packs = _packs(chunks, frequencies.edges())
+        shared = cut_lineage(packs.groupBy("part").applyInArrow(_shared_counts, "chunk long, keys binary, counts binary"))
+        both = chunks.select("chunk", "id", "text").groupBy("chunk").cogroup(shared.groupBy("chunk"))
+        return cut_lineage(both.applyInArrow(lambda texts, own: _sketched(texts, own, total), "id binary, bands array<long>, counts binary"))
 
 
 def weighted_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -229,15 +368,14 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(broadcast_if(ids, fits(ids, BROADCAST_IDS)), "id", "left_semi")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, frequencies, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, texts: DataFrame, total: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets are at least so similar."""
 
     def compare(batches):
-        table = frequencies.value
         for batch in bounded(bounded(batches, 2), 3):
             sets = []
             for column in (2, 3):
-                row, key, weight = weighted_sets(batch.column(column), table)
+                row, key, weight = weighted_sets(batch.column(column), batch.column(column + 2), total)
                 edges = np.searchsorted(row, np.arange(len(batch) + 1))
                 sets.append([(key[i:j], weight[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)])
             alike = [at for at, (left, right) in enumerate(zip(*sets, strict=True)) if weighted_jaccard(*left, *right) >= similarity]
@@ -246,9 +384,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, frequencies, similarity: float)
     asked = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     sides = _only(texts, asked)
     return (
-        pairs.join(sides.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-        .join(sides.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        .select("a", "b", "x", "y")
+        pairs.join(sides.select(F.col("id").alias("a"), F.col("text").alias("x"), F.col("counts").alias("x_counts")), "a")
+        .join(sides.select(F.col("id").alias("b"), F.col("text").alias("y"), F.col("counts").alias("y_counts")), "b")
+        .select("a", "b", "x", "y", "x_counts", "y_counts")
         .mapInArrow(compare, "a binary, b binary")
     )
 
@@ -292,19 +430,18 @@ def _tiled(rows: DataFrame, side: str) -> DataFrame:
     return tiled.withColumn("tile", F.struct(first.alias("first"), second.alias("second"))).drop("blocks", "across")
 
 
-def _long_sketches(texts: DataFrame, frequencies) -> DataFrame:
+def _long_sketches(texts: DataFrame, total: int) -> DataFrame:
     """(id, long): one bit of each of LONG_BITS further samples."""
 
     def sketch(batches):
-        table = frequencies.value
         for batch in bounded(batches, 1, 1 << 20):
-            row, key, weight = weighted_sets(batch.column(1), table)
+            row, key, weight = weighted_sets(batch.column(1), batch.column(2), total)
             bits = samples(row, key, weight, len(batch), LONG_BITS, HASHES) & 1
             packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "long"])
 
-    return texts.select("id", "text").mapInArrow(sketch, "id binary, long array<long>")
+    return texts.select("id", "text", "counts").mapInArrow(sketch, "id binary, long array<long>")
 
 
 def most_differing(similarity: float) -> int:
@@ -321,7 +458,7 @@ def least_agreement(similarity: float) -> int:
     return max(ROWS, math.floor(HASHES * similarity - 3.2 * math.sqrt(HASHES * similarity * (1 - similarity))))
 
 
-def _remaining_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame, frequencies, similarity: float) -> DataFrame:
+def _remaining_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame, total: int, similarity: float) -> DataFrame:
     """Pairs across classes that share a bucket and agree in enough samples; large buckets are joined in tiles.
 
     A pair comes from the first band that it shares and from one tile, so it comes once.
@@ -336,7 +473,7 @@ def _remaining_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame,
         rows = single
     else:
         large = rows.join(big, "bucket")
-        long = cut_lineage(_long_sketches(_only(texts, cut_lineage(large.select("id").distinct())), frequencies))
+        long = cut_lineage(_long_sketches(_only(texts, cut_lineage(large.select("id").distinct())), total))
         rows = single.join(big.select("bucket"), "bucket", "left_anti").unionByName(large.join(long, "id"))
     rows = cut_lineage(rows)
     left = _tiled(rows, "left").select("bucket", "tile", "band", F.col("id").alias("a"), "class", F.col("bands").alias("x"), F.col("long").alias("long_x"))
@@ -356,18 +493,24 @@ def _remaining_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame,
     return left.join(right, candidate).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(texts: DataFrame, frequencies, similarity: float, rounds: int) -> DataFrame:
+def _links(texts: DataFrame, similarity: float, rounds: int) -> DataFrame:
     """Rows (id, class): the texts (id, text) in classes of more than one."""
-    sketches = cut_lineage(_sketches(texts, frequencies))
+    frequencies = document_frequencies(texts)
+    total = frequencies.texts
+    chunks = cut_lineage(_chunks(texts))
+    counted = _sketches(chunks, frequencies)
+    sketches = counted.select("id", "bands")
     spread = sketches.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "id")
     members = cut_lineage(_several(spread.withColumn("class", F.col("id"))).distinct())
     # Only texts that meet another one in some bucket are looked at again.
-    texts = cut_lineage(_only(texts, cut_lineage(members.select("id").distinct())).dropDuplicates(["id"]))
+    met = cut_lineage(members.select("id").distinct())
+    counts = _only(counted.select("id", "counts"), met).dropDuplicates(["id"])
+    texts = cut_lineage(_only(chunks.select("id", "text"), met).dropDuplicates(["id"]).join(counts, "id"))
     links, classes = None, None
     for turn in range(rounds + 1):
-        pairs = _leader_pairs(members, sketches, turn, similarity) if turn < rounds else _remaining_pairs(members, sketches, texts, frequencies, similarity)
+        pairs = _leader_pairs(members, sketches, turn, similarity) if turn < rounds else _remaining_pairs(members, sketches, texts, total, similarity)
         pairs, count = cut_lineage_counting(pairs)
-        found, count = cut_lineage_counting(_similar(pairs, texts, frequencies, similarity)) if count else (None, 0)
+        found, count = cut_lineage_counting(_similar(pairs, texts, total, similarity)) if count else (None, 0)
         if count:
             links = found if links is None else links.unionByName(found)
             classes = component_labels(links)
@@ -388,8 +531,7 @@ def _named(documents: DataFrame) -> DataFrame:
 def _classes(named: DataFrame, similarity: float, rounds: int) -> DataFrame:
     """(text_id, doc_id, class): one row per row with a text; class is a text_id."""
     texts = named.filter(F.col("text_id").isNotNull()).select(F.col("text_id").alias("id"), "text")
-    frequencies = named.sparkSession.sparkContext.broadcast(document_frequencies(texts))
-    classes = _links(texts, frequencies, similarity, rounds).withColumnRenamed("id", "text_id")
+    classes = _links(texts, similarity, rounds).withColumnRenamed("id", "text_id")
     rows = named.filter(F.col("text_id").isNotNull()).select("text_id", "doc_id")
     return rows.join(classes, "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
 

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import components, weighted_jaccard, weighted_sets
 from pyspark.sql import functions as F
@@ -97,10 +98,12 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, large):
 
 @pytest.mark.parametrize("tile", [512, 4])
 def test_one_shared_band_is_enough_in_large_buckets(spark, monkeypatch, tile):
-    def sketches(texts, _):
+    real = near_duplicates._sketches
+
+    def sketches(*given):
         # All share the first band only, and three of four samples of every other one.
         own = F.xxhash64("id").bitwiseAND(F.lit(0xFFFF))
-        return texts.select("id", F.array(F.lit(7).cast("long"), *[own] * (near_duplicates.BANDS - 1)).alias("bands"))
+        return real(*given).withColumn("bands", F.array(F.lit(7).cast("long"), *[own] * (near_duplicates.BANDS - 1)))
 
     monkeypatch.setattr(near_duplicates, "_sketches", sketches)
     monkeypatch.setattr(near_duplicates, "LARGE_BUCKET", 1)
@@ -153,6 +156,22 @@ def test_frequencies_count_every_text(spark):
     assert found.idf(np.array([0, 1 << 63], dtype=np.uint64)).min() >= 1.0
 
 
+def test_frequencies_are_exact_whatever_slots_are_shared(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SLOT_BITS", 14)
+    monkeypatch.setattr(near_duplicates, "RANGE_PAIRS", 5_000, raising=False)
+    monkeypatch.setattr(near_duplicates, "CHUNK_BYTES", 20_000, raising=False)
+    texts = [text for _, text in copies()]
+    expected = {text: sorted(one.values()) for text, one in zip(texts, weighted_sets(texts), strict=True)}
+    rows = spark.createDataFrame([(str(k).encode(), text) for k, text in enumerate(texts)], "id binary, text string")
+    frequencies = near_duplicates.document_frequencies(rows)
+    assert len(frequencies.edges()) > 3
+    found = near_duplicates._sketches(near_duplicates._chunks(rows), frequencies).join(rows, "id").collect()
+    assert len(found) == len(texts)
+    for r in found:
+        weights = near_duplicates.weighted_sets(pa.array([r.text]), pa.array([bytes(r.counts)]), frequencies.texts)[2]
+        assert np.allclose(np.sort(weights), expected[r.text], rtol=1e-5)
+
+
 def test_odd_column_values_survive(spark):
     rows = spark.createDataFrame(ODD, TEXTS).withColumn("Doc_ID", F.lit(7))
     assert near_duplicates.near_duplicate_classes(rows).count() == len(ODD)
