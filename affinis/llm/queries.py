@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm.decontaminate import find_contamination
 from affinis.llm.fingerprints import edited_fingerprints
+from affinis.llm.html_extraction import extract_main_text
 from affinis.llm.near_duplicates import near_duplicate_classes
 from affinis.llm.packing import pack
 from affinis.llm.repeats import remove_repeats
@@ -17,6 +18,7 @@ from affinis.llm.token_counts import count_tokens
 from affinis.llm.toxicity import fit_toxicity, score_toxicity
 from affinis.llm.url_filters import judge_urls
 from affinis.llm.warc import derive, responses
+from affinis.llm.whitening import whiten
 
 # The rules of the url query, as (verdict, host/path).
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -104,6 +106,15 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitened.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -121,6 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets,
     "op9_decontamination": decontamination,
     "op10_near_duplicates": near_duplicates,
+    "op11_html_extraction": html_extraction,
+    "op12_embedding_whitening": embedding_whitening,
     "pipeline": pipeline,
 }
 
