@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.llm.collocations import collocations
 from affinis.llm.decontaminate import find_contamination
 from affinis.llm.fingerprints import edited_fingerprints
 from affinis.llm.html_extraction import extract_main_text
@@ -115,6 +116,10 @@ def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -134,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": near_duplicates,
     "op11_html_extraction": html_extraction,
     "op12_embedding_whitening": embedding_whitening,
+    "op13_phrase_collocations": phrase_collocations,
     "pipeline": pipeline,
 }
 
@@ -158,5 +164,33 @@ items AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (row_no) LEFT JOIN items USING (row_no)
+""",
+    "op13_phrase_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(s, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+g AS (
+  SELECT lang, array_to_string(list_slice(w, s, s + n - 1), ' ') AS phrase, n
+  FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM p, (VALUES (1), (2), (3)) sizes(n) WHERE len(w) >= n)),
+f AS (SELECT lang, phrase, n, count(*) AS f FROM g GROUP BY lang, phrase, n),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE n = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, n, f AS a, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, n, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, n), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, n)) AS k FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.n, a, k, x.f AS l, y.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + 1), ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE n = 3) GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.phrase = lowest.phrase
+  WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, totals.n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
 """,
 }
