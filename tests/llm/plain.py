@@ -85,3 +85,28 @@ def contamination(documents: list[tuple], items: list[tuple], width: int) -> dic
                     met |= found
         out[name] = (len(own), len(hit), sorted(met))
     return out
+
+
+def collocations(rows: list[tuple], least: int, best: int = 2000) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) from dictionaries of all phrases."""
+    counts, totals = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", fold(text or "")):
+            parts = re.findall("[^\x20\x09]+", piece)
+            totals[lang] += len(parts)
+            for size in (1, 2, 3):
+                counts[lang].update(tuple(parts[at : at + size]) for at in range(len(parts) - size + 1))
+    out = []
+    for lang, count in counts.items():
+        candidates = {phrase: a for phrase, a in count.items() if len(phrase) > 1 and a >= least}
+        inside = {part for phrase, a in candidates.items() if len(phrase) == 3 for part in (phrase[:2], phrase[1:]) if 100 * a >= 50 * count[part]}
+        scored = []
+        for phrase, a in candidates.items():
+            if phrase not in inside:
+                sides = [(count[phrase[:k]], count[phrase[k:]]) for k in range(1, len(phrase))]
+                score, left, right = min(((10**6 * a * a // (x * y), x, y) for x, y in sides), key=lambda one: one[0])
+                scored.append((-score, -a, " ".join(phrase).encode(), left, right))
+        ordered = sorted(scored)[:best]
+        out += [(lang, rank, phrase.decode(), -a, left, right, totals[lang], -score) for rank, (score, a, phrase, left, right) in enumerate(ordered, 1)]
+    return sorted(out)
