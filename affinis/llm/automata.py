@@ -9,8 +9,7 @@ to them. ``union`` adds the numbers of several automata, ``compose`` follows
 the phrases of one automaton through another.
 
 Words are byte strings; the alphabet is sorted, so number order is byte order.
-Everything runs on arrays; nothing is done phrase by phrase but the look-up of
-a run's distinct states.
+Everything runs on arrays: a run's states are looked up in the register together.
 """
 
 from __future__ import annotations
@@ -25,10 +24,10 @@ from affinis.llm.text import mix
 
 LEVELS = 3
 #: Phrases of a run of the builder, unless one first word has more.
-RUN = 1 << 16
+RUN = 1 << 20
 #: With more words than this the key of a phrase would pass 63 bits.
 MOST_WORDS = (1 << 21) - 2
-_SALTS = mix(np.arange(1, 9, dtype=np.uint64))
+_SALTS = mix(np.arange(1, 3, dtype=np.uint64))
 
 
 @dataclass(frozen=True)
@@ -184,13 +183,14 @@ class CountAutomaton:
 
 
 class _Builder:
-    """Register of complete states. Deeper states come first; the root is last."""
+    """Register of complete states, by a print of their arcs. Deeper states come first; the root is last."""
 
     def __init__(self) -> None:
-        self._register: dict[tuple[int, int, int], list[int]] = {}
-        self._arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self._sizes: list[np.ndarray] = []
-        self._states, self._root = 0, []
+        none = np.zeros(0, dtype=np.int64)
+        self._arcs = (none.astype(np.int32), none, none)
+        self._bounds = np.zeros(1, dtype=np.int64)
+        self._prints, self._states = none.astype(np.uint64), none
+        self._root: list[tuple[np.ndarray, ...]] = []
 
     def add(self, words: np.ndarray, numbers: np.ndarray) -> None:
         """A sorted run with all phrases of its first words."""
@@ -226,54 +226,58 @@ class _Builder:
         return head[starts], path[:, level], number, target, np.append(starts, len(path))
 
     def _registered(self, label, number, target, bounds) -> np.ndarray:
-        """State numbers of complete states; new ones are added."""
+        """State numbers of complete states; those that the register lacks are added."""
         groups = len(bounds) - 1
         if not groups:
             return np.zeros(0, dtype=np.int64)
-        size, starts = np.diff(bounds), bounds[:-1]
+        arcs, size, starts = (label, number, target), np.diff(bounds), bounds[:-1]
         place = (np.arange(len(label)) - np.repeat(starts, size)).astype(np.uint64)
-        prints = []
-        for salt in (0, 4):
-            arc = mix(mix(mix(label.astype(np.uint64) + _SALTS[salt]) + number.astype(np.uint64)) + target.astype(np.uint64))
-            prints.append(np.add.reduceat(mix(arc + place * _SALTS[salt + 1]), starts))
-        order = np.lexsort((size, prints[1], prints[0]))
-        a, b, n = prints[0][order], prints[1][order], size[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (n[1:] != n[:-1])])
-        chosen = order[new]
+        mixed = mix(label.astype(np.uint64) + number.astype(np.uint64) * _SALTS[0] + mix(target.astype(np.uint64) + place * _SALTS[1]))
+        prints = np.add.reduceat(mixed, starts)
+        order = np.argsort(prints, kind="stable")
+        new = np.concatenate([[True], np.diff(prints[order]) != 0])
         leader = np.empty(groups, dtype=np.int64)
-        leader[order] = chosen[np.cumsum(new) - 1]
-        # Equal prints stand for equal arcs; a state that differs from its leader after all stays its own.
-        at = np.arange(len(label)) + np.repeat(starts[leader] - starts, size)
-        same = np.logical_and.reduceat((label == label[at]) & (number == number[at]) & (target == target[at]), starts)
-        odd = np.flatnonzero(~same)
+        leader[order] = order[new][np.cumsum(new) - 1]
+        # Equal prints are not proof: a state with other arcs than its leader stays a state of its own.
+        odd = np.flatnonzero(~_same_arcs(arcs, starts, size, arcs, starts[leader], size[leader]))
         leader[odd] = odd
+        chosen = np.flatnonzero(leader == np.arange(groups))
         state = np.full(groups, -1, dtype=np.int64)
-        kept = []
-        for group, key in zip(chosen.tolist(), zip(a[new].tolist(), b[new].tolist(), n[new].tolist()), strict=True):
-            own = slice(bounds[group], bounds[group + 1])
-            known = self._register.get(key)
-            if known is not None and all(np.array_equal(x[own], y) for x, y in zip((label, number, target), known[1], strict=True)):
-                state[group] = known[0]
-                continue
-            state[group] = self._states + len(kept)
-            kept.append(group)
-            if known is None:
-                self._register[key] = (int(state[group]), (label[own], number[own], target[own]))
-        for group in odd.tolist():
-            state[group] = self._states + len(kept)
-            kept.append(group)
-        kept = np.array(kept, dtype=np.int64)
-        arcs = np.repeat(starts[kept], size[kept]) + _within(size[kept])
-        self._arcs.append((label[arcs], number[arcs], target[arcs]))
-        self._sizes.append(size[kept])
-        self._states += len(kept)
+        if len(self._prints):
+            at = np.minimum(np.searchsorted(self._prints, prints[chosen]), len(self._prints) - 1)
+            known, old = np.flatnonzero(self._prints[at] == prints[chosen]), self._states[at]
+            mine, theirs = chosen[known], old[known]
+            same = _same_arcs(arcs, starts[mine], size[mine], self._arcs, self._bounds[theirs], np.diff(self._bounds)[theirs])
+            state[mine[same]] = theirs[same]
+        kept = chosen[state[chosen] < 0]
+        first = len(self._bounds) - 1
+        state[kept] = first + np.arange(len(kept))
+        own = np.repeat(starts[kept], size[kept]) + _within(size[kept])
+        self._arcs = tuple(np.concatenate([all_, one[own]]) for all_, one in zip(self._arcs, arcs, strict=True))
+        self._bounds = np.concatenate([self._bounds, self._bounds[-1] + np.cumsum(size[kept])])
+        prints, states = np.concatenate([self._prints, prints[kept]]), np.concatenate([self._states, state[kept]])
+        order = np.argsort(prints, kind="stable")
+        self._prints, self._states = prints[order], states[order]
         return state[leader]
 
     def finish(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-        parts = [*self._arcs, *self._root] or [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
-        label, number, target = (np.concatenate(column) for column in zip(*parts, strict=True))
-        sizes = np.concatenate([*self._sizes, [sum(len(one[0]) for one in self._root)]]).astype(np.int64)
-        return label, number, target, np.concatenate([[0], np.cumsum(sizes)]), self._states
+        label, number, target = (np.concatenate([all_, *ends]) for all_, *ends in zip(self._arcs, *self._root, strict=True))
+        return label, number, target, np.append(self._bounds, len(label)), len(self._bounds) - 1
+
+
+def _same_arcs(left, left_start, left_size, right, right_start, right_size) -> np.ndarray:
+    """Whether states of one set of arcs equal states of another, one by one."""
+    same = left_size == right_size
+    some = np.flatnonzero(same & (left_size > 0))
+    if len(some):
+        size = left_size[some]
+        step = _within(size)
+        a, b = np.repeat(left_start[some], size) + step, np.repeat(right_start[some], size) + step
+        equal = np.ones(len(step), dtype=bool)
+        for one, other in zip(left, right, strict=True):
+            equal &= one[a] == other[b]
+        same[some] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return same
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:

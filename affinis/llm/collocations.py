@@ -46,7 +46,7 @@ NO_LANGUAGE = "und"
 #: Bytes of text whose phrases one range holds on average, and phrases it may hold before it is dealt again.
 RANGE_BYTES, RANGE_PHRASES = 8 << 20, 8_000_000
 #: Bytes of text and words counted together in a task.
-SHARD_BYTES, SHARD_WORDS = 24 << 20, 2_000_000
+SHARD_BYTES, SHARD_WORDS = 8 << 20, 1_000_000
 
 _PUNCTUATION, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _PUNCTUATION[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -99,32 +99,38 @@ def count_phrases(texts: pa.Array) -> Iterator[Phrases]:
     raw, offsets = utf8(texts)
     raw = FOLD[raw]
     breaks = _PUNCTUATION[raw]
-    starts, ends = spans(~(breaks | _BLANK[raw]), offsets)
+    inside = ~(breaks | _BLANK[raw])
+    starts, ends = spans(inside, offsets)
     if not len(starts):
         return
-    piece = np.cumsum(breaks)[starts] + np.searchsorted(offsets, starts, side="right")
-    # Neither part of the sum ever falls, so it is the same for two words only within a row and piece.
-    joined = np.append(piece[1:] == piece[:-1], [False, False])
+    # Two words share a piece if neither a row nor punctuation begins between them.
+    rows, marks = (np.searchsorted(edges, starts, side="right") for edges in (offsets, np.flatnonzero(breaks)))
+    joined = np.append((rows[1:] == rows[:-1]) & (marks[1:] == marks[:-1]), [False, False])
     for low in range(0, len(starts), SHARD_WORDS):
         # The next two words may end a phrase that begins here.
         high, more = min(low + SHARD_WORDS, len(starts)), min(low + SHARD_WORDS + 2, len(starts))
-        begin, lengths = starts[low:more], ends[low:more] - starts[low:more]
-        edges = np.concatenate([[0], np.cumsum(lengths)])
-        data = raw[np.repeat(begin - edges[:-1], lengths) + np.arange(edges[-1])]
-        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+        stretch = slice(starts[low], ends[more - 1])
+        edges = np.concatenate([[0], np.cumsum(ends[low:more] - starts[low:more])])
+        data = raw[stretch][inside[stretch]]
+        words = pa.Array.from_buffers(pa.large_binary(), more - low, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
         alphabet, (number,) = joint_alphabet([words])
-        count, number = high - low, np.append(number, np.array([-1, -1], dtype=np.int32)).astype(np.int64)
+        count, size = high - low, len(alphabet) + 1
+        number = np.append(number, np.array([-1, -1], dtype=np.int32)).astype(np.int64) + 1
         two = joined[low:high]
         three = two & joined[low + 1 : high + 1]
-        size = len(alphabet) + 1
-        one = (number[:count] + 1) * size * size
-        pair = one[two] + (number[1 : count + 1][two] + 1) * size
-        triple = one[three] + (number[1 : count + 1][three] + 1) * size + (number[2 : count + 2][three] + 1)
-        key, total = (np.concatenate(part) for part in zip(*(np.unique(x, return_counts=True) for x in (one, pair, triple)), strict=True))
-        order = np.argsort(key)
-        key = key[order]
-        rows = np.stack([key // (size * size) - 1, key // size % size - 1, key % size - 1], axis=1).astype(np.int32)
-        yield Phrases(rows, total[order].astype(np.int64), alphabet)
+        # A phrase is a number in base ``size``, 0 after its end, so that numbers sort as phrases do.
+        one = number[:count] * size * size
+        pair = one[two] + number[1 : count + 1][two] * size
+        triple = one[three] + number[1 : count + 1][three] * size + number[2 : count + 2][three]
+        key = np.sort(np.concatenate([one, pair, triple]))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        total = np.diff(np.append(first, len(key)))
+        key = key[first]
+        out = np.empty((len(key), LEVELS), dtype=np.int32)
+        for level in range(LEVELS - 1, -1, -1):
+            key, out[:, level] = np.divmod(key, size)
+        out -= 1
+        yield Phrases(out, total, alphabet)
 
 
 def _dealt(lang: str, phrases: Phrases, ranges: Ranges) -> Iterator[tuple[int, str, int, bytes]]:
