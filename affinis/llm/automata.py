@@ -64,23 +64,36 @@ class Phrases:
 
 
 def keys(words: np.ndarray, size: int) -> np.ndarray:
-    """One whole number per phrase, in the order of the phrases."""
+    """One whole number per phrase over an alphabet of ``size`` words, in the order of the phrases."""
     if size > MOST_WORDS:
-        raise ValueError(f"{size} words are too many for one automaton")
+        raise ValueError(f"{size} words are too many for keys of 63 bits")
     out = np.zeros(len(words), dtype=np.int64)
     for level in range(words.shape[1]):
         out = out * (size + 1) + (words[:, level].astype(np.int64) + 1)
     return out
 
 
+def _spelled_out(key: np.ndarray, size: int) -> np.ndarray:
+    """The words of each key."""
+    words = np.empty((len(key), LEVELS), dtype=np.int32)
+    for level in range(LEVELS - 1, -1, -1):
+        key, words[:, level] = np.divmod(key, size + 1)
+    return words - 1
+
+
 def summed(words: np.ndarray, numbers: np.ndarray, alphabet: pa.Array, by=np.add) -> Phrases:
     """Phrases in any order, equal ones put together."""
     if not len(words):
         return Phrases(words, numbers, alphabet)
-    key = keys(words, len(alphabet))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    if len(alphabet) <= MOST_WORDS:
+        key = keys(words, len(alphabet))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(tuple(words[:, level] for level in range(LEVELS - 1, -1, -1)))
+        new = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    first = np.flatnonzero(np.concatenate([[True], new]))
     return Phrases(words[order[first]], by.reduceat(numbers[order], first), alphabet)
 
 
@@ -125,7 +138,8 @@ class CountAutomaton:
         owner = np.repeat(np.arange(len(states)), count)
         return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.bounds[states], count)
 
-    def phrases(self) -> Phrases:
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(words, numbers) of its phrases, shorter ones first."""
         states, prefix = np.array([self.root]), np.full((1, LEVELS), -1, dtype=np.int32)
         rows, numbers = [], []
         for level in range(LEVELS):
@@ -137,7 +151,10 @@ class CountAutomaton:
             numbers.append(self.number[arc][ends])
             onward = self.target[arc] >= 0
             prefix, states = prefix[onward], self.target[arc][onward]
-        return summed(np.concatenate(rows), np.concatenate(numbers), self.alphabet)
+        return np.concatenate(rows), np.concatenate(numbers)
+
+    def phrases(self) -> Phrases:
+        return summed(*self.rows(), self.alphabet)
 
     def compose(self, asked: Phrases) -> np.ndarray:
         """The number of each asked phrase, 0 where there is none: its path is followed level by level."""
@@ -290,12 +307,29 @@ def _narrow(array: np.ndarray) -> np.ndarray:
     return array.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
 
 
-def union(automata: list[CountAutomaton]) -> Phrases:
-    """The phrases of all automata with the sums of their numbers."""
-    alphabet, new = joint_alphabet([one.alphabet for one in automata])
-    words, numbers = [], []
-    for one, number in zip(automata, new, strict=True):
-        own = one.phrases()
-        words.append(np.append(number, np.int32(-1))[own.words])
-        numbers.append(own.numbers)
-    return summed(np.concatenate(words), np.concatenate(numbers), alphabet)
+def union(fragments: list[bytes], least: int = 1) -> tuple[Phrases, int]:
+    """(phrases whose numbers add up to ``least`` or more over all automata, sum of the numbers of single words).
+
+    One automaton is read at a time; what is held of all is a key and a number per phrase.
+    """
+    alphabet, new = joint_alphabet([CountAutomaton.from_bytes(data).alphabet for data in fragments])
+    size = len(alphabet)
+    held, numbers, single = [], [], 0
+    for data, number in zip(fragments, new, strict=True):
+        words, own = CountAutomaton.from_bytes(data).rows()
+        single += int(own[words[:, 1] < 0].sum())
+        words = np.append(number, np.int32(-1))[words]
+        held.append(keys(words, size) if size <= MOST_WORDS else words)
+        numbers.append(own)
+    held, numbers = np.concatenate(held), np.concatenate(numbers)
+    if size > MOST_WORDS:
+        total = summed(held, numbers, alphabet)
+        return total.select(np.flatnonzero(total.numbers >= least)), single
+    order = np.argsort(held)
+    held, numbers = held[order], numbers[order]
+    del order
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(held)), dtype=bool), held[1:] != held[:-1]]))
+    sums = np.add.reduceat(numbers, first) if len(first) else numbers
+    enough = np.flatnonzero(sums >= least)
+    kept = Phrases(_spelled_out(held[first[enough]], size), sums[enough], alphabet)
+    return kept.select(np.arange(len(kept))), single

@@ -235,10 +235,7 @@ def _union_kernel(ranges: Ranges, least: int):
     def unite(table: pa.Table) -> pa.Table:
         own, out = table["bucket"][0].as_py(), []
         for lang, fragments in sorted(_by_language(table).items()):
-            phrases = union([CountAutomaton.from_bytes(data) for data in fragments])
-            length = phrases.lengths()
-            words = int(phrases.numbers[length == 1].sum())
-            frequent = phrases.select(np.flatnonzero(phrases.numbers >= least))
+            frequent, words = union(fragments, least)
             out.append(pa.table([[-1], [lang], [own], [""], [words], [None]], schema=_UNITED_KIND))
             if not len(frequent):
                 continue
