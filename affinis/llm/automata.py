@@ -47,8 +47,9 @@ class Phrases:
     def select(self, rows: np.ndarray) -> Phrases:
         """Some of the phrases, in order, with the words they use."""
         words = self.words[rows]
-        used = np.unique(words)
-        used = used[used >= 0]
+        occurs = np.zeros(len(self.alphabet) + 1, dtype=bool)
+        occurs[words] = True
+        used = np.flatnonzero(occurs[:-1])
         place = np.full(len(self.alphabet) + 1, -1, dtype=np.int32)
         place[used] = np.arange(len(used), dtype=np.int32)
         return Phrases(place[words], self.numbers[rows], self.alphabet.take(pa.array(used)))
@@ -231,8 +232,11 @@ class _Builder:
         path = np.concatenate([words[ends, : level + 1], heads[:, : level + 1]])
         number = np.concatenate([numbers[ends], np.zeros(len(heads), dtype=numbers.dtype)])
         target = np.concatenate([np.full(int(ends.sum()), -1, dtype=np.int64), targets])
-        order = np.lexsort(tuple(path[:, k] for k in range(level, -1, -1)))
-        path, number, target = path[order], number[order], target[order]
+        if len(heads):
+            # Both parts are sorted; the stable sort merges them.
+            width = int(path[:, -1].max()) + 1
+            order = np.argsort(path[:, 0].astype(np.int64) * width + (path[:, 1] if level else 0), kind="stable")
+            path, number, target = path[order], number[order], target[order]
         if not len(path):
             return path[:, :level], path[:, level], number, target, np.zeros(1, dtype=np.int64)
         new = np.concatenate([[True], (path[1:] != path[:-1]).any(axis=1)])

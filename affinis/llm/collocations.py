@@ -44,15 +44,17 @@ from affinis.runtime import cut_lineage
 LEAST, BEST, SHARE, UNIT = 10, 2000, 50, 1_000_000
 NO_LANGUAGE = "und"
 #: Bytes of text whose phrases one range holds on average, and phrases it may hold before it is dealt again.
-RANGE_BYTES, RANGE_PHRASES = 8 << 20, 8_000_000
+RANGE_BYTES, RANGE_PHRASES = 12 << 20, 12_000_000
 #: Bytes of text and words counted together in a task.
-SHARD_BYTES, SHARD_WORDS = 8 << 20, 1_000_000
+SHARD_BYTES, SHARD_WORDS = 4 << 20, 650_000
 
 _PUNCTUATION, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _PUNCTUATION[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _BLANK[[ord(" "), ord("\t")]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _U64 = np.uint64
+#: Phrases whose hashes are computed at once.
+_STEP = 1 << 17
 
 _FRAGMENTS = "bucket int, lang string, phrases long, automaton binary"
 _UNITED = "bucket int, lang string, origin int, part string, number long, automaton binary"
@@ -77,18 +79,16 @@ class Ranges:
 
     def of(self, lang: str, phrases: Phrases) -> np.ndarray:
         """The range of each phrase."""
-        lengths, edges = _edges(phrases.alphabet)
-        word = np.append(hash_spans(lengths, edges[:-1], edges[1:], _SAME) if len(phrases.alphabet) else np.zeros(0, dtype=_U64), _U64(0))
-        first, second, third = (word[phrases.words[:, level]] for level in range(LEVELS))
-        prefix = pair_key(mix(first ^ _language(lang)), second)
-        bucket = ((prefix >> _U64(33)) * _U64(self.count) >> _U64(31)).astype(np.int64)
-        piece = (pair_key(prefix, third) % self._pieces[bucket].astype(_U64)).astype(np.int64)
-        return np.where(piece > 0, self._more[bucket] + piece - 1, bucket).astype(np.int32)
-
-
-def _edges(alphabet: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw, edges = utf8(alphabet)
-    return raw, edges
+        raw, edges = utf8(phrases.alphabet)
+        word = np.append(hash_spans(raw, edges[:-1], edges[1:], _SAME) if len(phrases.alphabet) else np.zeros(0, dtype=_U64), _U64(0))
+        out, language = np.empty(len(phrases), dtype=np.int32), _language(lang)
+        for at in range(0, len(out), _STEP):
+            first, second, third = (word[phrases.words[at : at + _STEP, level]] for level in range(LEVELS))
+            prefix = pair_key(mix(first ^ language), second)
+            bucket = ((prefix >> _U64(33)) * _U64(self.count) >> _U64(31)).astype(np.int64)
+            piece = (pair_key(prefix, third) % self._pieces[bucket].astype(_U64)).astype(np.int64)
+            out[at : at + _STEP] = np.where(piece > 0, self._more[bucket] + piece - 1, bucket)
+        return out
 
 
 # ---- counting a shard -------------------------------------------------------------------------------
@@ -115,21 +115,24 @@ def count_phrases(texts: pa.Array) -> Iterator[Phrases]:
         words = pa.Array.from_buffers(pa.large_binary(), more - low, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
         alphabet, (number,) = joint_alphabet([words])
         count, size = high - low, len(alphabet) + 1
-        number = np.append(number, np.array([-1, -1], dtype=np.int32)).astype(np.int64) + 1
-        two = joined[low:high]
-        three = two & joined[low + 1 : high + 1]
+        number = np.append(number, np.array([-1, -1], dtype=np.int32)) + np.int32(1)
+        two = np.flatnonzero(joined[low:high])
+        three = two[joined[low + 1 : high + 1][two]]
         # A phrase is a number in base ``size``, 0 after its end, so that numbers sort as phrases do.
-        one = number[:count] * size * size
-        pair = one[two] + number[1 : count + 1][two] * size
-        triple = one[three] + number[1 : count + 1][three] * size + number[2 : count + 2][three]
-        key = np.sort(np.concatenate([one, pair, triple]))
+        key = np.empty(count + len(two) + len(three), dtype=np.int64)
+        for part, begin in ((key[:count], np.arange(count)), (key[count : count + len(two)], two), (key[count + len(two) :], three)):
+            np.multiply(number[begin], size * size, out=part, dtype=np.int64)
+        key[count:] += number[np.concatenate([two, three]) + 1].astype(np.int64) * size
+        key[count + len(two) :] += number[three + 2]
+        key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         total = np.diff(np.append(first, len(key)))
         key = key[first]
         out = np.empty((len(key), LEVELS), dtype=np.int32)
         for level in range(LEVELS - 1, -1, -1):
-            key, out[:, level] = np.divmod(key, size)
-        out -= 1
+            rest = key // size
+            out[:, level] = key - rest * size - 1
+            key = rest
         yield Phrases(out, total, alphabet)
 
 
@@ -143,7 +146,7 @@ def _dealt(lang: str, phrases: Phrases, ranges: Ranges) -> Iterator[tuple[int, s
             yield int(bucket[rows[0]]), lang, len(rows), CountAutomaton.build(phrases.select(rows)).to_bytes()
 
 
-def _batches(rows: Iterator[tuple], kinds: list[tuple[str, pa.DataType]], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], kinds: list[tuple[str, pa.DataType]], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Rows whose last value is bytes, as batches of about ``most`` bytes."""
     held, size = [], 0
     for row in rows:
@@ -185,6 +188,8 @@ def _shard_kernel(ranges: Ranges):
                 yield from flush()
                 size = 0
         yield from flush()
+        # The worker lives on beside other tasks.
+        pa.default_memory_pool().release_unused()
 
     return lambda batches: _batches(shard(batches), _FRAGMENT_KINDS)
 
