@@ -74,6 +74,14 @@ def _placed(rows: DataFrame, slice_: Column, blocks: int, cuts: DataFrame | None
     return met.select(*rows.columns, block.cast("int").alias("block"))
 
 
+def _largest_block(sliced: DataFrame, blocks: int, table_rows: int | None, block_pairs: int) -> int:
+    """Pairs of the largest hashed block, or of all where those fit into one."""
+    if table_rows is not None and table_rows <= block_pairs:
+        return table_rows
+    sizes = sliced.groupBy(bucket(blocks, F.col("id"), F.col("slice")).alias("hashed")).count()
+    return sizes.agg(F.max("count")).first()[0] or 0
+
+
 def _cuts(sliced: DataFrame, blocks: int, block_pairs: int) -> tuple[DataFrame | None, int]:
     """The cuts of blocks with more than ``block_pairs`` pairs, and how many blocks they add.
 
@@ -125,7 +133,9 @@ def build_layout(
     else:
         marks = heavy.select("id", F.lit(True).alias("heavy"))
         sliced = sliced.join(marks, "id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    cuts, added = (None, 0) if block_pairs is None else _cuts(sliced, blocks, block_pairs)
+    cuts, added = (None, 0)
+    if block_pairs is not None and _largest_block(sliced, blocks, table_rows, block_pairs) > block_pairs:
+        cuts, added = _cuts(sliced, blocks, block_pairs)
     placed = _placed(sliced, F.col("slice"), blocks, cuts)
     lists = (
         placed.repartitionById(partitions, F.col("block"))
