@@ -19,10 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 from affinis.llm.text import mix
 
 LEVELS = 3
+#: Compression of an automaton's bytes.
+LEVEL = 3
 #: Phrases of a run of the builder, unless one first word has more.
 RUN = 1 << 20
 #: With more words than this the key of a phrase would pass 63 bits.
@@ -185,10 +188,11 @@ class CountAutomaton:
         text = np.frombuffer(data, dtype=np.uint8)[edges[0] : edges[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
         arrays = [_narrow(array) for array in (np.diff(edges), text, self.label, self.number, self.target + 1, np.diff(self.bounds), np.array([self.root]))]
         head = np.array([value for array in arrays for value in (array.itemsize, len(array))], dtype=np.int64)
-        return b"".join([head.tobytes(), *(array.tobytes() for array in arrays)])
+        return zstandard.compress(b"".join([head.tobytes(), *(array.tobytes() for array in arrays)]), LEVEL)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountAutomaton:
+        data = zstandard.decompress(data)
         head, at, arrays = np.frombuffer(data, dtype=np.int64, count=14), 14 * 8, []
         for width, count in zip(head[::2], head[1::2], strict=True):
             arrays.append(np.frombuffer(data, dtype=f"<u{width}", count=count, offset=at))
