@@ -1,14 +1,31 @@
-"""The maximal core in which every user and item has enough rows."""
+"""The maximal core in which every user and item has enough rows.
+
+Keys with too few rows are peeled off, which takes rows from the other side,
+until nothing falls. The pair table is laid out by user and by item, each copy
+written when its side first loses a key. A step reads the folders of the keys
+that fell out in the step before. While many fall, degrees are updated by a
+join; once few do, the driver names them to the scans and keeps the counts that
+have changed, so that a step of a core that falls apart key by key costs what
+its few pairs cost.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from affinis.functions.expressions import bucket
 from affinis.operators.interactions import pair_counts
+from affinis.operators.keyed import NAMED_KEYS, ROWS_PER_FOLDER, KeyedTable, folders_for
 from affinis.operators.skew import ROWS_PER_SLICE, heavy_keys, skew_join
 from affinis.runtime import GenerationStore
 
+# Pairs of the keys of one step, and changed counts, that the driver holds at most.
+FEW_PAIRS = 100_000
+
 
 class Side:
     """Remaining row counts of one side, and the step in which a key fell out.
@@ -26,14 +43,18 @@ class Side:
         store: GenerationStore,
         rows_per_slice: int,
         table_rows: int | None,
+        rows_per_folder: int = ROWS_PER_FOLDER,
     ):
         self.key, self.minimum, self._store, self._rows_per_slice = key, minimum, store, rows_per_slice
+        self._pairs, self._table_rows, self._rows_per_folder = pairs, table_rows, rows_per_folder
         degrees = pairs.groupBy(key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
         state = degrees.select(
             key, "n", F.col("n").alias("rows"), "pairs", F.when(F.col("n") < minimum, F.lit(0)).alias("dropped_in")
         )
         self.state, self.fallen = self._write(state, 0)
         self.heavy = self.heavy_by("pairs", table_rows)
+        self._index: KeyedTable | None = None
+        self._folders: int | None = None
 
     def _write(self, state: DataFrame, step: int) -> tuple[DataFrame, int]:
         return self._store.write_counting(f"core-{self.key}", state, F.col("dropped_in") == step)
@@ -41,6 +62,28 @@ class Side:
     def heavy_by(self, column: str, table_rows: int | None = None) -> DataFrame | None:
         return heavy_keys(self.state, self.key, column, self._rows_per_slice, table_rows)
 
+    @property
+    def folders(self) -> int:
+        if self._folders is None:
+            rows = self._table_rows if self._table_rows is not None else self._pairs.count()
+            self._folders = folders_for(rows, self._rows_per_folder)
+        return self._folders
+
+    def folder(self) -> Column:
+        """The folder of this side's key."""
+        return bucket(self.folders, F.col(self.key))
+
+    @property
+    def index(self) -> KeyedTable:
+        """The pairs by this side's key."""
+        if self._index is None:
+            self._index = KeyedTable(self._pairs, self.key, self.folders, self.heavy)
+        return self._index
+
+    @property
+    def rows_read(self) -> int:
+        return 0 if self._index is None else self._index.rows_read
+
     def dropped(self, step: int) -> DataFrame:
         return self.state.filter(F.col("dropped_in") == step).select(self.key)
 
@@ -48,6 +91,12 @@ class Side:
         """Keys of the core. A side without a minimum never drops keys, but may lose all their rows."""
         return self.state.filter(F.col("dropped_in").isNull() & (F.col("n") > 0)).select(self.key)
 
+    def lost_pairs(self, step: int) -> DataFrame:
+        """The pairs of the keys that fell out in ``step``."""
+        dropped = self.dropped(step)
+        near = self.index.near(dropped, self.fallen)
+        return near if self.fallen <= NAMED_KEYS else skew_join(near, dropped, self.key, "left_semi", self.heavy, self.fallen)
+
     def subtract(self, losses: DataFrame, step: int) -> None:
         """Lower the counts by ``losses`` (key, lost) and mark who falls below the minimum."""
         left = F.col("n") - F.coalesce(F.col("lost"), F.lit(0))
@@ -57,6 +106,92 @@ class Side:
         )
         self.state, self.fallen = self._write(updated, step)
 
+    def few(self, step: int) -> dict | None:
+        """(folder, pairs) of the keys that fell out in ``step``, if the driver may hold them and their pairs."""
+        if self.fallen > NAMED_KEYS:
+            return None
+        rows = self.state.filter(F.col("dropped_in") == step).select(self.key, self.folder(), "pairs").collect() if self.fallen else []
+        return {row[0]: (row[1], row[2]) for row in rows} if sum(row[2] for row in rows) <= FEW_PAIRS else None
+
+
+@dataclass
+class _Count:
+    """What remains of a key, in the steps of few keys."""
+
+    n: int
+    pairs: int
+    folder: int
+    dropped_in: int | None
+
+
+class _FewKeys:
+    """One side while few keys fall: counts that changed are held here, others lie in a table by key."""
+
+    def __init__(self, side: Side, fallen: dict):
+        self.side, self.fallen = side, fallen
+        self.changed: dict[object, _Count] = {}
+        self._degrees: KeyedTable | None = None
+
+    @property
+    def degrees(self) -> KeyedTable:
+        if self._degrees is None:
+            state = self.side.state.select(self.side.key, "n", "pairs", "dropped_in")
+            self._degrees = KeyedTable(state, self.side.key, self.side.folders)
+        return self._degrees
+
+    def losses(self, other: _FewKeys) -> list:
+        """(key of the other side, its folder, rows lost) of the pairs of the fallen keys."""
+        pairs = self.side.index.named({key: folder for key, (folder, _) in self.fallen.items()})
+        key = other.side.key
+        return pairs.groupBy(key).agg(F.sum("n").alias("lost")).select(key, other.side.folder(), "lost").collect()
+
+    def subtract(self, losses: list, step: int) -> None:
+        """Afterwards ``fallen`` has the keys that fell out in ``step``."""
+        self.fallen = {}
+        new = {key: folder for key, folder, _ in losses if key not in self.changed}
+        names = list(new)
+        for at in range(0, len(names), NAMED_KEYS):
+            some = {key: new[key] for key in names[at : at + NAMED_KEYS]}
+            for key, n, pairs, dropped_in in self.degrees.named(some).select(self.side.key, "n", "pairs", "dropped_in").collect():
+                self.changed[key] = _Count(n, pairs, new[key], dropped_in)
+        for key, _, lost in losses:
+            count = self.changed[key]
+            count.n -= lost
+            if count.dropped_in is None and count.n < self.side.minimum:
+                count.dropped_in = step
+                self.fallen[key] = (count.folder, count.pairs)
+
+    def pairs(self) -> int:
+        return sum(pairs for _, pairs in self.fallen.values())
+
+    def write_back(self, step: int) -> None:
+        side = self.side
+        if self.changed:
+            kinds = T.StructType([side.state.schema[side.key], T.StructField("left", T.LongType()), T.StructField("mark", T.IntegerType())])
+            rows = [(key, count.n, count.dropped_in) for key, count in self.changed.items()]
+            changed = side.state.sparkSession.createDataFrame(rows, kinds)
+            updated = side.state.join(changed, side.key, "left").select(
+                side.key, F.coalesce("left", "n").alias("n"), "rows", "pairs", F.coalesce("dropped_in", "mark").alias("dropped_in")
+            )
+            side.state, _ = side._write(updated, step)
+        side.fallen = len(self.fallen)
+
+
+def _peel_few(users: Side, items: Side, few: tuple[dict, dict], step: int) -> int:
+    """Steps in which few keys fall; ends at the fixpoint or when a step gets large. Returns the last step."""
+    both = _FewKeys(users, few[0]), _FewKeys(items, few[1])
+    while any(side.fallen for side in both):
+        losses = [source.losses(target) if source.fallen else [] for source, target in (both, both[::-1])]
+        step += 1
+        # What users lose comes from items, and the other way round.
+        for target, lost in zip(both[::-1], losses, strict=True):
+            target.subtract(lost, step)
+        if any(len(side.fallen) > NAMED_KEYS or side.pairs() > FEW_PAIRS or len(side.changed) > FEW_PAIRS for side in both):
+            break
+    for side in both:
+        side.write_back(step)
+    return step
+
 
 def peel(
     pairs: DataFrame,
@@ -66,6 +201,7 @@ def peel(
     min_item: int,
     rows_per_slice: int,
     table_rows: int | None = None,
+    rows_per_folder: int = ROWS_PER_FOLDER,
 ) -> tuple[Side, Side]:
     """Peel both sides to the fixpoint.
 
@@ -75,21 +211,24 @@ def peel(
     the pairs.
     """
     store = GenerationStore(pairs.sparkSession)
-    users = Side(pairs, user, min_user, store, rows_per_slice, table_rows)
-    items = Side(pairs, item, min_item, store, rows_per_slice, table_rows)
+    users = Side(pairs, user, min_user, store, rows_per_slice, table_rows, rows_per_folder)
+    items = Side(pairs, item, min_item, store, rows_per_slice, table_rows, rows_per_folder)
     step = 0
-    while True:
+    while users.fallen or items.fallen:
+        # The first step is the large one.
+        few = (users.few(step), items.few(step)) if step else (None, None)
+        if None not in few:
+            step = _peel_few(users, items, few, step)
+            continue
         losses = []
         for source, target in ((users, items), (items, users)):
             if source.fallen:
-                lost = skew_join(pairs, source.dropped(step), source.key, "left_semi", source.heavy, source.fallen)
-                losses.append((target, lost.groupBy(target.key).agg(F.sum("n").alias("lost"))))
-        if not losses:
-            return users, items
+                losses.append((target, source.lost_pairs(step).groupBy(target.key).agg(F.sum("n").alias("lost"))))
         step += 1
         users.fallen = items.fallen = 0
         for target, lost in losses:
             target.subtract(lost, step)
+    return users, items
 
 
 def core_filter(

@@ -57,6 +57,39 @@ def test_core_follows_long_chains_and_is_idempotent(spark):
     assert core_filter(kept, 2, 2).count() == 4
 
 
+@pytest.mark.parametrize("named, few", [(1000, 100_000), (0, 100_000), (1, 1), (5, 3)])
+def test_core_by_joins_and_by_names(spark, monkeypatch, named, few):
+    """The same core whether steps are joins, few keys at a time, or change between the two."""
+    from affinis.operators import core as module
+    from affinis.operators import keyed
+
+    for place in (module, keyed):
+        monkeypatch.setattr(place, "NAMED_KEYS", named)
+    monkeypatch.setattr(module, "FEW_PAIRS", few)
+    pick = random.Random(2)
+    rows = [(f"u{pick.randrange(30)}", f"i{pick.randrange(25)}", 1.0, at(0)) for _ in range(140)]
+    rows += [(f"c{n}", f"d{n + side}", 1.0, at(0)) for n in range(6) for side in (0, 1)]
+    frame = spark.createDataFrame(rows, RAW)
+    for minimums in ((4, 5), (5, 0), (2, 2)):
+        assert sorted(map(tuple, core_filter(frame, *minimums).collect())) == sorted(core(rows, *minimums))
+
+
+def test_core_reads_little_of_a_chain(spark):
+    """A chain falls apart key by key beside a large stable part; a step reads the folders of its keys only."""
+    from affinis.operators.core import peel
+
+    steps = 20
+    chain = [(10_000 + n, 10_000 + n + side, 1) for n in range(steps) for side in (0, 1)]
+    stable = [(u, i, 1) for u in range(200) for i in range(20)]
+    pairs = spark.createDataFrame(chain + stable, "user_raw long, item_raw long, n long").persist()
+    users, items = peel(pairs, "user_raw", "item_raw", 2, 2, 1_000_000, len(chain + stable), rows_per_folder=100)
+    assert users.survivors().count() == 200 and items.survivors().count() == 20
+    dropped = users.state.filter("dropped_in IS NOT NULL").count() + items.state.filter("dropped_in IS NOT NULL").count()
+    read = users.rows_read + items.rows_read
+    # Every step that reads the whole table would come to steps * len(pairs) rows.
+    assert dropped == 2 * steps + 1 and read <= dropped * 400 and read < steps * len(chain + stable) / 3
+
+
 def test_core_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     from affinis.operators import skew
 
