@@ -27,13 +27,15 @@ columns are not read.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinis.llm.automata import LEVELS, CountAutomaton, Phrases, joint_alphabet, keys, summed, union
@@ -47,6 +49,7 @@ NO_LANGUAGE = "und"
 RANGE_BYTES, RANGE_PHRASES = 12 << 20, 12_000_000
 #: Bytes of text and words counted together in a task.
 SHARD_BYTES, SHARD_WORDS = 4 << 20, 650_000
+BATCH_BYTES = 8 << 20
 
 _PUNCTUATION, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _PUNCTUATION[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -167,6 +170,26 @@ def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
 _FRAGMENT_KINDS = [("bucket", pa.int32()), ("lang", pa.string()), ("phrases", pa.int64()), ("automaton", pa.binary())]
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: the worker lives on beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Texts reach Python in batches of BATCH_BYTES meanwhile."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _shard_kernel(ranges: Ranges):
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: dict[str, list[pa.Array]] = {}
@@ -188,8 +211,7 @@ def _shard_kernel(ranges: Ranges):
                 yield from flush()
                 size = 0
         yield from flush()
-        # The worker lives on beside other tasks.
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return lambda batches: _batches(shard(batches), _FRAGMENT_KINDS)
 
@@ -250,6 +272,7 @@ def _union_kernel(ranges: Ranges, least: int):
                 rest = [pa.array([lang] * len(asked), pa.string()), pa.array(np.full(len(asked), own, dtype=np.int32)), asked.texts().cast(pa.string())]
                 columns = [pa.array(ranges.of(lang, asked)), *rest, pa.array(asked.numbers), pa.nulls(len(asked), pa.binary())]
                 out.append(pa.Table.from_arrays(columns, schema=_UNITED_KIND))
+        _give_back()
         return pa.concat_tables(out)
 
     return unite
@@ -357,7 +380,8 @@ def collocations(
     texts = pick(documents, "lang", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = Ranges(max(1, math.ceil(size / range_bytes)))
-    fragments = cut_lineage(texts.mapInArrow(_shard_kernel(ranges), _FRAGMENTS))
+    with _small_batches(texts.sparkSession):
+        fragments = cut_lineage(texts.mapInArrow(_shard_kernel(ranges), _FRAGMENTS))
     hot = _hot_ranges(fragments, range_phrases)
     if hot:
         ranges = Ranges(ranges.count, hot)
