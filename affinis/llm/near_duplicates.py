@@ -16,9 +16,10 @@ use the same weights.
 
 Equal texts are one text throughout. In a bucket every text is compared with a
 leader; texts of one class need no further comparison. Two more rounds with
-other leaders compare only across classes. Then follow all pairs across classes
-that still share a bucket and agree in as many samples as all but one in a
-thousand similar pairs do. Buckets with more than ``LARGE_BUCKET``
+other leaders compare only across classes. Then follow pairs across classes that
+still share a bucket: first those whose samples put them clearly above the
+threshold, then, across the classes left, all that agree in as many samples as
+all but one in a thousand similar pairs do. Buckets with more than ``LARGE_BUCKET``
 classes are joined whole too, in tiles of ``TILE`` by ``TILE`` texts. Their
 texts also get more samples, so that pairs of a large group that are not quite
 similar enough are told apart early.
@@ -458,11 +459,8 @@ def least_agreement(similarity: float) -> int:
     return max(ROWS, math.floor(HASHES * similarity - 3.2 * math.sqrt(HASHES * similarity * (1 - similarity))))
 
 
-def _remaining_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame, total: int, similarity: float) -> DataFrame:
-    """Pairs across classes that share a bucket and agree in enough samples; large buckets are joined in tiles.
-
-    A pair comes from the first band that it shares and from one tile, so it comes once.
-    """
+def _compared_rows(members: DataFrame, sketches: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """The rows of ``members`` with their sketches, and in large buckets with the long ones and the number of blocks."""
     bands = _only(sketches, cut_lineage(members.select("id").distinct())).dropDuplicates(["id"])
     rows = members.join(bands, "id")
     sizes = members.groupBy("bucket").agg(F.approx_count_distinct("class").alias("size"), F.count(F.lit(1)).alias("texts"))
@@ -475,7 +473,16 @@ def _remaining_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame,
         large = rows.join(big, "bucket")
         long = cut_lineage(_long_sketches(_only(texts, cut_lineage(large.select("id").distinct())), total))
         rows = single.join(big.select("bucket"), "bucket", "left_anti").unionByName(large.join(long, "id"))
-    rows = cut_lineage(rows)
+    return cut_lineage(rows)
+
+
+def _remaining_pairs(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """Pairs across classes that share a bucket and agree in enough samples; large buckets are joined in tiles.
+
+    ``least`` samples agree and, where both texts have long sketches, at most
+    ``most`` of their bits differ. A pair comes from the first band that it
+    shares and from one tile, so it comes once.
+    """
     left = _tiled(rows, "left").select("bucket", "tile", "band", F.col("id").alias("a"), "class", F.col("bands").alias("x"), F.col("long").alias("long_x"))
     right = _tiled(rows, "right").select(
         F.col("bucket").alias("other_bucket"), F.col("tile").alias("other_tile"), F.col("id").alias("b"), F.col("class").alias("other"), F.col("bands").alias("y"), F.col("long").alias("long_y")
@@ -487,8 +494,8 @@ def _remaining_pairs(members: DataFrame, sketches: DataFrame, texts: DataFrame,
         & (F.col("tile") == F.col("other_tile"))
         & (F.col("class") < F.col("other"))
         & (F.col("band") == shared)
-        & (_agreeing("x", "y") >= least_agreement(similarity))
-        & (F.col("long_x").isNull() | (differing <= most_differing(similarity)))
+        & (_agreeing("x", "y") >= least)
+        & (F.col("long_x").isNull() | (differing <= most))
     )
     return left.join(right, candidate).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -507,16 +514,25 @@ def _links(texts: DataFrame, similarity: float, rounds: int) -> DataFrame:
     counts = _only(counted.select("id", "counts"), met).dropDuplicates(["id"])
     texts = cut_lineage(_only(chunks.select("id", "text"), met).dropDuplicates(["id"]).join(counts, "id"))
     links, classes = None, None
-    for turn in range(rounds + 1):
-        pairs = _leader_pairs(members, sketches, turn, similarity) if turn < rounds else _remaining_pairs(members, sketches, texts, total, similarity)
+
+    def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Adds the similar pairs to the links; returns what is left of ``rows`` across classes."""
+        nonlocal links, classes
         pairs, count = cut_lineage_counting(pairs)
         found, count = cut_lineage_counting(_similar(pairs, texts, total, similarity)) if count else (None, 0)
-        if count:
-            links = found if links is None else links.unionByName(found)
-            classes = component_labels(links)
-            if turn < rounds:
-                merged = members.drop("class").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-                members = cut_lineage(_several(merged))
+        if not count:
+            return rows
+        links = found if links is None else links.unionByName(found)
+        classes = component_labels(links)
+        merged = rows.drop("class").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        return cut_lineage(_several(merged))
+
+    for turn in range(rounds):
+        members = verified(_leader_pairs(members, sketches, turn, similarity), members)
+    # Pairs that look clearly similar come first: classes they join need no further pairs.
+    rows, clear = _compared_rows(members, sketches, texts, total), (1 + similarity) / 2
+    rows = verified(_remaining_pairs(rows, math.ceil(HASHES * clear), math.floor(LONG_BITS * (1 - clear) / 2)), rows)
+    verified(_remaining_pairs(rows, least_agreement(similarity), most_differing(similarity)), rows)
     if classes is None:
         classes = texts.sparkSession.createDataFrame([], "id binary, class binary")
     return classes
