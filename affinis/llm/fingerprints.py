@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from affinis.llm.frames import pick
+from affinis.llm.frames import pick, shuffles_dropped
 from affinis.runtime import cut_lineage
 
 BITS, RADIUS, BLOCKS = 128, 3, 5
@@ -166,12 +166,15 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     narrow = rows.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), half.alias("half")).distinct()
-    order = successors(rows)
-    before = cut_lineage(
-        order.join(narrow, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).select(
-            F.col("next_id").alias("to_id"), F.col("next_hash").alias("to_hash"), F.col("doc_id").alias("for_id"), F.col("text_hash").alias("for_hash"), F.col("half").alias("for_half")
-        )
+    spark = documents.sparkSession
+    # Disk is short here: what is shuffled for a table goes once the table is written.
+    with shuffles_dropped(spark):
+        order = successors(rows)
+    before = order.join(narrow, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash"))).select(
+        F.col("next_id").alias("to_id"), F.col("next_hash").alias("to_hash"), F.col("doc_id").alias("for_id"), F.col("text_hash").alias("for_hash"), F.col("half").alias("for_half")
     )
+    with shuffles_dropped(spark):
+        before = cut_lineage(before)
     # Each text goes once to where its predecessor is known, and from there in two parts:
     # its first half to its own row, its beginning to its predecessor's.
     placed = rows.join(before, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("text_hash") == F.col("to_hash")))
@@ -195,10 +198,12 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     edited = edited.withColumnsRenamed({"high": "edited_high", "low": "edited_low"})
     # Equal texts have one fingerprint, so they need not be told apart.
     numbered = rows.select(F.monotonically_increasing_id().alias("row_no"), "text_hash", "n_chars", "text")
-    prints = cut_lineage(fingerprints(numbered, "row_no", "text_hash", "n_chars").drop("row_no").distinct())
+    with shuffles_dropped(spark):
+        prints = cut_lineage(fingerprints(numbered, "row_no", "text_hash", "n_chars").drop("row_no").distinct())
     nexts = prints.select(*(F.col(name).alias(f"next_{name}") for name in ("high", "low")), F.col("text_hash").alias("next_hash"), F.col("n_chars").alias("next_chars"))
     joined = edited.join(prints, ["text_hash", "n_chars"]).join(nexts, ["next_hash", "next_chars"])
-    joined = cut_lineage(joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    with shuffles_dropped(spark):
+        joined = cut_lineage(joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
     joined = joined.join(close_counts(joined.select("high", "low")), ["high", "low"])
 
     def text_of(high: str, low: str) -> Column:

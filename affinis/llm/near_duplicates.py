@@ -35,18 +35,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm.components import component_labels
-from affinis.llm.frames import broadcast_if, fits, without_clashes
+from affinis.llm.frames import broadcast_if, fits, shuffles_dropped, without_clashes
 from affinis.llm.text import bounded, distinct, mix, rows_of, utf8, words
 from affinis.runtime import cut_lineage, cut_lineage_counting
 
@@ -334,23 +333,11 @@ def _sketched(texts: pa.Table, shared: pa.Table, total: int) -> pa.Table:
     return pa.Table.from_batches(out, schema)
 
 
-@contextmanager
-def _shuffles_dropped(spark: SparkSession):
-    """Shuffle files of what is written meanwhile are removed when it is written, not at some later garbage collection."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _sketches(chunks: DataFrame, frequencies: Frequencies) -> DataFrame:
     """(id, bands, counts) of each text that has words; equal texts repeat once per chunk.
     counts has, as 32-bit integers, the number of texts with each distinct shingle, by hash."""
     total = frequencies.texts
-    with _shuffles_dropped(chunks.sparkSession):
+    with shuffles_dropped(chunks.sparkSession):
         packs = _packs(chunks, frequencies.edges())
         shared = cut_lineage(packs.groupBy("part").applyInArrow(_shared_counts, "chunk long, keys binary, counts binary"))
         both = chunks.select("chunk", "id", "text").groupBy("chunk").cogroup(shared.groupBy("chunk"))

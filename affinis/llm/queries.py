@@ -38,6 +38,7 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (removed > 0).alias("repeats"),
     )
 
 
