@@ -1,9 +1,9 @@
 """The maximal core in which every user and item has enough rows.
 
 Keys with too few rows are peeled off, which takes rows from the other side,
-until nothing falls. The pair table is laid out by user and by item, each copy
-written when its side first loses a key. A step reads the folders of the keys
-that fell out in the step before. While many fall, degrees are updated by a
+until nothing falls. The first pairs that a side loses are found by a scan; for
+the next ones the pair table is laid out by that side's key, and a step reads
+the folders of the keys that fell out in the step before. While many fall, degrees are updated by a
 join; once few do, the driver names them to the scans and keeps the counts that
 have changed, so that a step of a core that falls apart key by key costs what
 its few pairs cost.
@@ -55,6 +55,7 @@ class Side:
         self.heavy = self.heavy_by("pairs", table_rows)
         self._index: KeyedTable | None = None
         self._folders: int | None = None
+        self._scans = 0
 
     def _write(self, state: DataFrame, step: int) -> tuple[DataFrame, int]:
         return self._store.write_counting(f"core-{self.key}", state, F.col("dropped_in") == step)
@@ -94,8 +95,19 @@ class Side:
     def lost_pairs(self, step: int) -> DataFrame:
         """The pairs of the keys that fell out in ``step``."""
         dropped = self.dropped(step)
-        near = self.index.near(dropped, self.fallen)
-        return near if self.fallen <= NAMED_KEYS else skew_join(near, dropped, self.key, "left_semi", self.heavy, self.fallen)
+        self._scans += 1
+        if self._scans > 1:
+            near = self.index.near(dropped, self.fallen)
+            if self.fallen <= NAMED_KEYS:
+                return near
+        else:
+            near = self._pairs
+        return skew_join(near, dropped, self.key, "left_semi", self.heavy, self.fallen)
+
+    def named_pairs(self, keys: dict) -> DataFrame:
+        """The pairs of a few keys, given with their folders."""
+        self._scans += 1
+        return self.index.named(keys) if self._scans > 1 else self._pairs.filter(F.col(self.key).isin(list(keys)))
 
     def subtract(self, losses: DataFrame, step: int) -> None:
         """Lower the counts by ``losses`` (key, lost) and mark who falls below the minimum."""
@@ -131,17 +143,20 @@ class _FewKeys:
         self.side, self.fallen = side, fallen
         self.changed: dict[object, _Count] = {}
         self._degrees: KeyedTable | None = None
+        self._scans = 0
 
-    @property
-    def degrees(self) -> KeyedTable:
+    def _degrees_of(self, keys: dict) -> DataFrame:
+        self._scans += 1
+        state = self.side.state.select(self.side.key, "n", "pairs", "dropped_in")
+        if self._scans == 1:
+            return state.filter(F.col(self.side.key).isin(list(keys)))
         if self._degrees is None:
-            state = self.side.state.select(self.side.key, "n", "pairs", "dropped_in")
             self._degrees = KeyedTable(state, self.side.key, self.side.folders)
-        return self._degrees
+        return self._degrees.named(keys)
 
     def losses(self, other: _FewKeys) -> list:
         """(key of the other side, its folder, rows lost) of the pairs of the fallen keys."""
-        pairs = self.side.index.named({key: folder for key, (folder, _) in self.fallen.items()})
+        pairs = self.side.named_pairs({key: folder for key, (folder, _) in self.fallen.items()})
         key = other.side.key
         return pairs.groupBy(key).agg(F.sum("n").alias("lost")).select(key, other.side.folder(), "lost").collect()
 
@@ -152,7 +167,7 @@ class _FewKeys:
         names = list(new)
         for at in range(0, len(names), NAMED_KEYS):
             some = {key: new[key] for key in names[at : at + NAMED_KEYS]}
-            for key, n, pairs, dropped_in in self.degrees.named(some).select(self.side.key, "n", "pairs", "dropped_in").collect():
+            for key, n, pairs, dropped_in in self._degrees_of(some).select(self.side.key, "n", "pairs", "dropped_in").collect():
                 self.changed[key] = _Count(n, pairs, new[key], dropped_in)
         for key, _, lost in losses:
             count = self.changed[key]
