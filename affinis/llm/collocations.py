@@ -3,9 +3,9 @@
 Texts are lower-cased (A-Z), split into pieces at punctuation and line ends and
 into words at blanks. Each task counts the phrases of one to three words of a
 shard of text, sorts them and builds count automata, one for each range of
-hashed prefixes (the first word, or the first two). The automata of a range are
-united and their counts added up. Ranges that turn out to hold more phrases
-than one task should are dealt again, by whole phrases.
+hashed prefixes (first words). The automata of a range are united and their
+counts added up. Ranges that turn out to hold more phrases than one task should
+are dealt again, by whole phrases.
 
 A phrase of two or three words with at least ``least`` occurrences is a
 candidate, and so are then all its parts frequent. Each range asks the ranges of
@@ -46,9 +46,9 @@ from affinis.runtime import cut_lineage
 LEAST, BEST, SHARE, UNIT = 10, 2000, 50, 1_000_000
 NO_LANGUAGE = "und"
 #: Bytes of text whose phrases one range holds on average, and phrases it may hold before it is dealt again.
-RANGE_BYTES, RANGE_PHRASES = 12 << 20, 12_000_000
+RANGE_BYTES, RANGE_PHRASES = 12 << 20, 6_000_000
 #: Bytes of text and words counted together in a task.
-SHARD_BYTES, SHARD_WORDS = 4 << 20, 650_000
+SHARD_BYTES, SHARD_WORDS = 6 << 20, 1_000_000
 BATCH_BYTES = 8 << 20
 
 _PUNCTUATION, _BLANK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
@@ -87,9 +87,9 @@ class Ranges:
         out, language = np.empty(len(phrases), dtype=np.int32), _language(lang)
         for at in range(0, len(out), _STEP):
             first, second, third = (word[phrases.words[at : at + _STEP, level]] for level in range(LEVELS))
-            prefix = pair_key(mix(first ^ language), second)
+            prefix = mix(first ^ language)
             bucket = ((prefix >> _U64(33)) * _U64(self.count) >> _U64(31)).astype(np.int64)
-            piece = (pair_key(prefix, third) % self._pieces[bucket].astype(_U64)).astype(np.int64)
+            piece = (pair_key(pair_key(prefix, second), third) % self._pieces[bucket].astype(_U64)).astype(np.int64)
             out[at : at + _STEP] = np.where(piece > 0, self._more[bucket] + piece - 1, bucket)
         return out
 
@@ -393,7 +393,8 @@ def collocations(
     own = counted.filter(F.col("automaton").isNotNull())
     scored = own.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score_kernel(unit, share), _SCORED)
     order: list[Column] = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
-    ranked = scored.withColumn("rank", place).filter(F.col("rank") <= best)
+    # A filter on the plain row number lets each task drop what is not among its own first ones.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    ranked = scored.withColumn("rank", place).filter(F.col("rank") <= best).withColumn("rank", F.col("rank").cast("long"))
     totals = united.filter("bucket < 0").groupBy("lang").agg(F.sum("number").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
