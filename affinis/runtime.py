@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -76,3 +77,47 @@ class GenerationStore:
         counted = watch.get.get("rows")
         # Without an observation the table itself is counted; a wrong 0 would end a loop early.
         return table, table.filter(condition).count() if counted is None else counted
+
+
+class RunLog:
+    """Named tables and numbers of the last finished steps of a run, in a folder of the caller's choice.
+
+    Two slots are written in turn. A slot is marked open before its tables are
+    replaced and closed, with its step and numbers, after the last of them, so
+    that a driver that dies at any moment leaves at least the step before.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder.rstrip("/")
+
+    def _mark(self, slot: int, key: str, step: int, numbers: list[float], closed: bool) -> None:
+        row = self._spark.createDataFrame([(key, step, numbers, closed)], "key string, step int, numbers array<double>, closed boolean")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self._folder}/mark-{slot}")
+
+    def save(self, key: str, step: int, tables: dict[str, DataFrame], numbers: list[float]) -> None:
+        """``key`` says what the run computes; a folder serves one such computation."""
+        slot = step % 2
+        self._mark(slot, key, step, numbers, False)
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{self._folder}/{name}-{slot}")
+        self._mark(slot, key, step, numbers, True)
+
+    def latest(self, key: str, names: list[str]) -> tuple[int, dict[str, DataFrame], list[float]] | None:
+        """(step, tables, numbers) of the last step that was saved whole, or None."""
+        found = None
+        for slot in (0, 1):
+            try:
+                row = self._spark.read.parquet(f"{self._folder}/mark-{slot}").first()
+            except AnalysisException:
+                # Nothing was saved in this slot yet, or its mark was being replaced.
+                continue
+            if row is None or not row["closed"]:
+                continue
+            if row["key"] != key:
+                raise ValueError(f"{self._folder} holds another run: {row['key']}, not {key}")
+            if found is None or row["step"] > found[0]:
+                found = row["step"], slot, list(row["numbers"])
+        if found is None:
+            return None
+        step, slot, numbers = found
+        return step, {name: self._spark.read.parquet(f"{self._folder}/{name}-{slot}") for name in names}, numbers
