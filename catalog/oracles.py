@@ -513,6 +513,8 @@ def _experiments() -> dict[str, str]:
     )
     known = [f"SELECT DISTINCT '{side}' AS side, {side}_id AS id, 8 AS length, {solved} AS solved FROM d_train" for side, solved in (("user", "true"), ("item", "NULL::BOOLEAN"))]
     found["baseline_als"] = script.select(" UNION ALL ".join(known))
+    solved = [f"SELECT DISTINCT '{side}' AS side, {side}_id AS id, 8 AS length, true AS solved FROM d_train" for side in ("user", "item")]
+    found["implicit_als"] = script.select(" UNION ALL ".join(solved))
     every = [f"SELECT '{side}' AS side, {side}_id AS id, 8 AS length FROM d_{side}s" for side in ("user", "item")]
     found["baseline_factors"] = script.select(" UNION ALL ".join(every))
     found["baseline_comparison"] = "SELECT method, true AS growing, true AS inside FROM (VALUES ('elementwise'), ('mllib')) v(method)"
