@@ -15,8 +15,8 @@ hash slot first; it only says where to cut the ranges. Samples and verification
 use the same weights.
 
 Equal texts are one text throughout. In a bucket every text is compared with a
-leader; texts of one class need no further comparison. Two more rounds with
-other leaders compare only across classes. Then follow pairs across classes that
+leader; texts of one class need no further comparison. A second round with
+other leaders compares only across classes. Then follow pairs across classes that
 still share a bucket: first those whose samples put them clearly above the
 threshold, then, across the classes left, all that agree in as many samples as
 all but one in a thousand similar pairs do. Buckets with more than ``LARGE_BUCKET``
@@ -69,8 +69,8 @@ LONG_BITS = 1536
 BROADCAST_IDS = 1_000_000
 #: Quantile tables of the random variables that the samples draw from.
 QUANTILES = 4096
-#: (shingle, sample) cells computed at once.
-CELLS = 1 << 20
+#: Shingles whose values for one sample are computed at once, unless one text has more; they stay in cache.
+CELLS = 1 << 16
 _U64 = np.uint64
 
 
@@ -278,25 +278,34 @@ def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows: int, cou
     ends = np.append(edges[1:], len(row))
     at = 0
     while at < len(edges):
-        stop = max(at + 1, int(np.searchsorted(ends, edges[at] + CELLS // 8, side="right")))
+        stop = max(at + 1, int(np.searchsorted(ends, edges[at] + CELLS, side="right")))
         span = slice(edges[at], ends[stop - 1])
         first, size = edges[at:stop] - edges[at], ends[at:stop] - edges[at:stop]
         k, lw = key[span], log_w[span]
         group = np.repeat(np.arange(stop - at), size)
+        bits, part = np.empty_like(k), np.empty_like(k)
+        place = part.view(np.int64)
         for j in range(count):
-            bits = k * seeds[j]
-            bits ^= bits >> _U64(29)
-            bits *= _U64(0xBF58476D1CE4E5B9)
-            bits ^= bits >> _U64(32)
-            r = r_table[(bits & low).astype(np.int32)]
-            log_c = log_c_table[((bits >> _U64(12)) & low).astype(np.int32)]
-            beta = unit[((bits >> _U64(24)) & low).astype(np.int32)]
+            np.multiply(k, seeds[j], out=bits)
+            np.bitwise_xor(bits, np.right_shift(bits, _U64(29), out=part), out=bits)
+            np.multiply(bits, _U64(0xBF58476D1CE4E5B9), out=bits)
+            np.bitwise_xor(bits, np.right_shift(bits, _U64(32), out=part), out=bits)
+            np.bitwise_and(bits, low, out=part)
+            r = r_table.take(place)
+            np.bitwise_and(np.right_shift(bits, _U64(12), out=part), low, out=part)
+            log_a = log_c_table.take(place)
+            np.bitwise_and(np.right_shift(bits, _U64(24), out=part), low, out=part)
+            beta = unit.take(place)
             t = np.floor(lw / r + beta)
-            log_a = log_c - r * (t - beta) - r
+            # log a = log c - r (t - beta) - r
+            np.subtract(t, beta, out=beta)
+            np.multiply(beta, r, out=beta)
+            np.subtract(log_a, beta, out=log_a)
+            np.subtract(log_a, r, out=log_a)
             least = np.minimum.reduceat(log_a, first)
             hit = np.flatnonzero(log_a == least[group])
             # Of shingles with equal values the one with the smallest hash counts; keys ascend in a row.
-            one = hit[np.unique(group[hit], return_index=True)[1]]
+            one = hit[np.flatnonzero(np.diff(group[hit], prepend=-1))]
             code = mix(k[one] + t[one].astype(np.int64).view(_U64) * _U64(0x9E3779B97F4A7C15))
             out[row[edges[at:stop]], j] = code.view(np.int64)
         at = stop
@@ -545,7 +554,7 @@ def _keepers(classes: DataFrame) -> DataFrame:
     return classes.groupBy("class").agg(F.min(order).alias("keeper"), F.count(F.lit(1)).alias("class_rows"))
 
 
-def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY, rounds: int = 3) -> DataFrame:
+def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """One row per row of ``documents``: doc_id, class_id, class_rows and is_representative.
 
     class_id is the smallest doc_id of the class; rows without a text have
@@ -566,7 +575,7 @@ def near_duplicate_classes(documents: DataFrame, similarity: float = SIMILARITY,
     return marked.unionByName(alone)
 
 
-def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, rounds: int = 3) -> DataFrame:
+def deduplicate(documents: DataFrame, similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """``documents`` with one row of each class; rows without a text stay."""
     named = _named(documents)
     keepers = _keepers(_classes(named, similarity, rounds)).select("keeper.text_id", F.col("keeper.doc_id").alias("keeper"))
