@@ -23,6 +23,11 @@ COLUMNS = {
     "op7_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
     "op8_secrets": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     "op9_decontamination": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
+    "op11_html_extraction": {"page_id", "url", "text", "n_chars"},
+}
+OTHER_COLUMNS = {
+    "op12_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13_phrase_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
@@ -30,6 +35,7 @@ COLUMNS = {
 def test_query_gives_a_row_for_each_row(spark, name):
     found = queries()[name](spark, FOLDER)
     assert set(found.columns) >= COLUMNS.get(name, set())
+    assert found.columns == OTHER_COLUMNS.get(name, found.columns)
     if name in COLUMNS or name == "op10_near_duplicates":
         key = "page_id" if "page_id" in found.columns else "doc_id"
         table = spark.read.parquet(f"{FOLDER}/{'pages' if key == 'page_id' else 'documents'}.parquet")
