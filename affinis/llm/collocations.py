@@ -393,7 +393,7 @@ def collocations(
     own = counted.filter(F.col("automaton").isNotNull())
     scored = own.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score_kernel(unit, share), _SCORED)
     order: list[Column] = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # A filter on the plain row number lets each task drop what is not among its own first ones.
+    # Where the session's windowGroupLimitThreshold is at least ``best``, each task drops what is not among its own first ones.
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     ranked = scored.withColumn("rank", place).filter(F.col("rank") <= best).withColumn("rank", F.col("rank").cast("long"))
     totals = united.filter("bucket < 0").groupBy("lang").agg(F.sum("number").alias("n"))
