@@ -94,3 +94,12 @@ def test_baseline_metrics_and_equations(spark):
     model = baseline.fit_baseline(data.train, 8, 5)
     assert baseline.solves_normal_equations(model, data.train).filter("NOT solved").count() == 0
     assert baseline.solves_normal_equations(model, data.train, reg=5.0).filter("solved").count() == 0
+
+
+def test_a_block_is_bounded_by_whole_rows_not_by_vectors():
+    """With two factors the other columns of a mailed row take several times what its vector does."""
+    from affinis.operators import blocks
+
+    for rank in (2, 8, 128):
+        assert blocks.pairs_per_block(rank) * (8 * (rank + 1) + 64) <= blocks.BLOCK_BYTES
+    assert blocks.block_count(216_000_000, 2, 12) >= 70
