@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from affinis.operators.core import core_filter
 from affinis.operators.interactions import binarize
 from affinis.operators.numbering import number_ids, reindex
@@ -172,6 +174,21 @@ def test_weights_sum_and_zero_counts(spark):
     assert uniform == {n: 2.0 for n in range(4)}
 
 
+def test_weights_read_the_pairs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pairs = spark.range(60).select((F.col("id") % 20).alias("user_id"), (F.col("id") % 7).alias("item_id"))
+    weights = item_weights(pairs.mapInArrow(counting, pairs.schema), 9, 8.0, 0.4).collect()
+    assert read.value == 60
+    assert sum(row["n"] for row in weights) == 60
+    assert len(weights) == 9
+
+
 def test_prepare_with_hot_keys(spark):
     rows = skewed_rows()
     data = prepare(spark.createDataFrame(rows, RAW), 0.0, 8, 9, rows_per_slice=20)
