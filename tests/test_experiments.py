@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 
 from affinis.operators.matrix import neighbour_lists
 from affinis.plans import experiments
-from affinis.plans.baseline import baseline_factors, fit_baseline
+from affinis.plans.baseline import baseline_factors, fit_baseline, solved_rows
 from affinis.plans.prepare import prepare
 from catalog.fixtures import events, prepared_purchases
 
@@ -56,3 +57,29 @@ def test_neighbour_lists_are_bounded(data):
 def test_empty_preparation_runs(spark):
     data = prepare(events(spark, FOLDER), 0.0, 10_000, 10_000)
     assert data.num_users == 0 and data.train.count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_solved_rows_move_the_pairs_three_times(spark, kind):
+    rng = np.random.default_rng(3)
+    p, q = rng.normal(0, 1, (6, 2)), rng.normal(0, 1, (5, 2)).astype("float32").astype(float)
+    pairs = [(u, i) for u in range(6) for i in range(5) if (u + i) % 3]
+    system = q.T @ q
+    for u in range(5):
+        near = q[[i for v, i in pairs if v == u]]
+        p[u] = np.linalg.solve(system + 0.01 * len(near) * np.eye(2) + near.T @ near, 2.0 * near.sum(axis=0))
+    users, items = (
+        spark.createDataFrame([(n, row.tolist()) for n, row in enumerate(side)], f"id long, features array<{kind}>") for side in (p, q)
+    )
+    train = spark.createDataFrame([pair for pair in pairs for _ in range(2)], "user_id long, item_id long")
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        solved = solved_rows(users, items, train, "user_id", "item_id", 2, tolerance=1e-5)
+        found = dict(solved.collect())
+        plan = solved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert found == {u: u < 5 for u in range(6)}
+    # The pairs: once to drop repeats, once to each side; and the two sides.
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 5
