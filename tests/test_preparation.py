@@ -2,7 +2,6 @@ import datetime
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from affinis.operators.core import core_filter
