@@ -16,13 +16,12 @@ use the same weights.
 
 Equal texts are one text throughout. In a bucket every text is compared with a
 leader; texts of one class need no further comparison. A second round with
-other leaders compares only across classes. Then follow pairs across classes that
-still share a bucket: first those whose samples put them clearly above the
-threshold, then, across the classes left, all that agree in as many samples as
-all but one in a thousand similar pairs do. Buckets with more than ``LARGE_BUCKET``
-classes are joined whole too, in tiles of ``TILE`` by ``TILE`` texts. Their
-texts also get more samples, so that pairs of a large group that are not quite
-similar enough are told apart early.
+other leaders compares only across classes. What is left of a bucket is compared
+whole, buckets of more than ``LARGE_BUCKET`` texts in tiles of ``TILE`` by
+``TILE``: a text goes once to each of its tiles, all pairs across classes that
+agree in as many samples as all but one in a thousand similar pairs do are
+compared there, and of the similar ones only those leave a tile that join two
+of its classes, fewer than it has texts.
 
 Defined cases: null and texts without words are in no group but their own, with
 equal non-empty texts together; texts of under five words are one shingle;
@@ -60,11 +59,13 @@ SLOT_BLOCK = 1 << 14
 CHUNK_BYTES = 4 << 20
 #: Pairs of a text and a shingle in one range of hashes, about.
 RANGE_PAIRS = 1 << 21
-LARGE_BUCKET = 50
-#: Texts on each side of a tile of a large bucket, about.
+#: Texts on each side of a tile of a large bucket, about, and bytes of their counts.
 TILE = 512
-#: Further samples of the texts in large buckets, of one bit each.
-LONG_BITS = 1536
+TILE_BYTES = 4 << 20
+#: A bucket of more texts is cut into tiles.
+LARGE_BUCKET = 2 * TILE
+#: Bytes of the texts and counts that a task compares at a time, about.
+DEAL_BYTES = 16 << 20
 #: Ids that are sent to all tasks instead of being joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Quantile tables of the random variables that the samples draw from.
@@ -419,81 +420,137 @@ def _leader_pairs(members: DataFrame, sketches: DataFrame, turn: int, similarity
     return pairs.join(left, "first").join(right, "second").filter(enough).select(F.col("first").alias("a"), F.col("second").alias("b"))
 
 
-def _tiled(rows: DataFrame, side: str) -> DataFrame:
-    """``rows`` with the tiles that they are on this side of, of all pairs of blocks of their bucket."""
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    tiled = rows.withColumn("across", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    first, second = (own, F.col("across")) if side == "left" else (F.col("across"), own)
-    return tiled.withColumn("tile", F.struct(first.alias("first"), second.alias("second"))).drop("blocks", "across")
+def least_agreement(similarity: float) -> int:
+    """Samples in which all but about one in a thousand pairs of this similarity agree."""
+    return max(ROWS, math.floor(HASHES * similarity - 3.2 * math.sqrt(HASHES * similarity * (1 - similarity))))
 
 
-def _long_sketches(texts: DataFrame, total: int) -> DataFrame:
-    """(id, long): one bit of each of LONG_BITS further samples."""
+def _tiled(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each tile that they are in; a tile is a pair of blocks of a bucket, smaller number first."""
+    tiled = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    tiled = tiled.withColumn("across", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return tiled.withColumns({"first": F.least("own", "across"), "second": F.greatest("own", "across")}).drop("blocks", "across")
 
-    def sketch(batches):
-        for batch in bounded(batches, 1, 1 << 20):
-            row, key, weight = weighted_sets(batch.column(1), batch.column(2), total)
-            bits = samples(row, key, weight, len(batch), LONG_BITS, HASHES) & 1
-            packed = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "long"])
 
-    return texts.select("id", "text", "counts").mapInArrow(sketch, "id binary, long array<long>")
+def _candidate_rows(members: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The rows of ``members`` with their bands, once for each tile in which they have a pair to compare.
 
+    The texts of a pair are of different classes and agree in ``least`` samples;
+    a pair counts in the bucket of the first band that it shares.
+    """
+    sketches = cut_lineage(_only(sketches, cut_lineage(members.select("id").distinct())).dropDuplicates(["id"]))
+    rows = members.join(sketches, "id")
+    parts = F.greatest(F.when(F.count(F.lit(1)) > LARGE_BUCKET, F.count(F.lit(1)) / TILE), F.sum("size") / TILE_BYTES)
+    large = rows.groupBy("bucket").agg(F.ceil(parts).cast("int").alias("blocks")).filter("blocks > 1")
+    rows = rows.drop("size").join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    left = cut_lineage(_tiled(rows))
+    right = left.toDF(*(f"other_{name}" for name in left.columns))
+    shared = F.coalesce(*(F.when(F.col("bands")[at] == F.col("other_bands")[at], F.lit(at)) for at in range(BANDS)))
+    candidate = (
+        reduce(lambda one, two: one & two, (F.col(name) == F.col(f"other_{name}") for name in ("bucket", "first", "second")))
+        & (F.col("class") != F.col("other_class"))
+        & ((F.col("first") == F.col("second")) | (F.col("own") != F.col("other_own")))
+        & (F.col("band") == shared)
+        & (_agreeing("bands", "other_bands") >= least)
+    )
+    return left.join(right, candidate, "left_semi")
 
-def most_differing(similarity: float) -> int:
-    """Bits of a long sketch in which all but about one in a thousand pairs of this similarity differ at most.
 
-    One bit of two samples is equal if the samples are, and else half the time.
-    """
-    apart = (1 - similarity) / 2
-    return math.ceil(LONG_BITS * apart + 3.2 * math.sqrt(LONG_BITS * apart * (1 - apart)))
+class _Sets:
+    """Weighted sets of the texts of a tile, with shingles numbered inside the tile."""
 
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        sizes = np.array([len(key) for key, _ in sets])
+        self._first, self._sizes = np.cumsum(sizes) - sizes, sizes
+        known, self._shingle = np.unique(np.concatenate([key for key, _ in sets]), return_inverse=True)
+        self._weight = np.concatenate([weight for _, weight in sets]).astype(np.float64)
+        self._sum = np.add.reduceat(self._weight, self._first)
+        self._own = np.zeros(len(known))
+
+    def similarities(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of one set to others."""
+        span = slice(self._first[one], self._first[one] + self._sizes[one])
+        self._own[self._shingle[span]] = self._weight[span]
+        size = self._sizes[others]
+        first = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(self._first[others] - first, size)
+        common = np.add.reduceat(np.minimum(self._own[self._shingle[at]], self._weight[at]), first)
+        self._own[self._shingle[span]] = 0.0
+        return common / (self._sum[one] + self._sum[others] - common)
 
-def least_agreement(similarity: float) -> int:
-    """Samples in which all but about one in a thousand pairs of this similarity agree."""
-    return max(ROWS, math.floor(HASHES * similarity - 3.2 * math.sqrt(HASHES * similarity * (1 - similarity))))
 
+def _joining(bands: np.ndarray, band: np.ndarray, side: np.ndarray, label: np.ndarray, similar, least: int) -> list[tuple[int, int]]:
+    """Similar pairs of a tile that join classes, no more than it has classes less one.
 
-def _compared_rows(members: DataFrame, sketches: DataFrame, texts: DataFrame, total: int) -> DataFrame:
-    """The rows of ``members`` with their sketches, and in large buckets with the long ones and the number of blocks."""
-    bands = _only(sketches, cut_lineage(members.select("id").distinct())).dropDuplicates(["id"])
-    rows = members.join(bands, "id")
-    sizes = members.groupBy("bucket").agg(F.approx_count_distinct("class").alias("size"), F.count(F.lit(1)).alias("texts"))
-    blocks = F.ceil(F.col("texts") / F.lit(TILE)).cast("int")
-    big = cut_lineage(sizes.filter(F.col("size") > LARGE_BUCKET).select("bucket", blocks.alias("blocks")))
-    single = rows.withColumns({"blocks": F.lit(1), "long": F.lit(None).cast("array<long>")})
-    if big.isEmpty():
-        rows = single
-    else:
-        large = rows.join(big, "bucket")
-        long = cut_lineage(_long_sketches(_only(texts, cut_lineage(large.select("id").distinct())), total))
-        rows = single.join(big.select("bucket"), "bucket", "left_anti").unionByName(large.join(long, "id"))
-    return cut_lineage(rows)
-
-
-def _remaining_pairs(rows: DataFrame, least: int, most: int) -> DataFrame:
-    """Pairs across classes that share a bucket and agree in enough samples; large buckets are joined in tiles.
-
-    ``least`` samples agree and, where both texts have long sketches, at most
-    ``most`` of their bits differ. A pair comes from the first band that it
-    shares and from one tile, so it comes once.
+    ``similar`` tells of one text and others which of these are similar;
+    ``side`` is 0 and 1 for the two blocks of a tile, 0 throughout in one block.
     """
-    left = _tiled(rows, "left").select("bucket", "tile", "band", F.col("id").alias("a"), "class", F.col("bands").alias("x"), F.col("long").alias("long_x"))
-    right = _tiled(rows, "right").select(
-        F.col("bucket").alias("other_bucket"), F.col("tile").alias("other_tile"), F.col("id").alias("b"), F.col("class").alias("other"), F.col("bands").alias("y"), F.col("long").alias("long_y")
-    )
-    shared = F.coalesce(*(F.when(F.col("x")[at] == F.col("y")[at], F.lit(at)) for at in range(BANDS)))
-    differing = reduce(lambda total, one: total + one, (F.bit_count(F.col("long_x")[at].bitwiseXOR(F.col("long_y")[at])) for at in range(LONG_BITS // 64)))
-    candidate = (
-        (F.col("bucket") == F.col("other_bucket"))
-        & (F.col("tile") == F.col("other_tile"))
-        & (F.col("class") < F.col("other"))
-        & (F.col("band") == shared)
-        & (_agreeing("x", "y") >= least)
-        & (F.col("long_x").isNull() | (differing <= most))
-    )
-    return left.join(right, candidate).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links, label = [], label.copy()
+    two = side.any()
+    for one in range(len(bands) - 1):
+        others = np.arange(one + 1, len(bands))
+        others = others[(label[others] != label[one]) & (~two | (side[others] != side[one]))]
+        if not len(others):
+            continue
+        apart = bands[others] ^ bands[one]
+        equal = apart == 0
+        close = (np.argmax(equal, axis=1) == band[one]) & equal[:, band[one]]
+        close &= (apart.view(np.uint16) == 0).sum(axis=1) >= least
+        others = others[close]
+        if not len(others):
+            continue
+        for other in others[similar(one, others)].tolist():
+            if label[other] != label[one]:
+                links.append((one, other))
+                label[label == label[other]] = label[one]
+    return links
+
+
+def _tile_links(rows: DataFrame, texts: DataFrame, total: int, similarity: float, least: int) -> DataFrame:
+    """(a, b): similar pairs across classes in the tiles of ``rows`` that join all their similar classes.
+
+    Every pair of a tile that is not joined yet is compared; a tile gives back
+    fewer links than it has texts.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        coded = table["id"].combine_chunks().dictionary_encode()
+        text_of, ids = coded.indices.to_numpy(), coded.dictionary
+        firsts = pa.array(np.unique(text_of, return_index=True)[1])
+        sets: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in bounded(table.select(["text", "counts"]).take(firsts).combine_chunks().to_batches(), 0):
+            row, key, weight = weighted_sets(batch.column(0), batch.column(1), total)
+            edges = np.searchsorted(row, np.arange(len(batch) + 1))
+            sets += [(key[i:j], weight[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        label = table["class"].combine_chunks().dictionary_encode().indices.to_numpy()
+        bands = np.asarray(table["bands"].combine_chunks().flatten()).view(_U64).reshape(len(table), BANDS)
+        bucket, first, second, own, band = (table[name].to_numpy() for name in ("bucket", "first", "second", "own", "band"))
+        order = np.lexsort((text_of, second, first, bucket))
+        tile = np.stack([bucket, first, second])[:, order]
+        cuts = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1
+        a, b = [], []
+        for at in np.split(order, cuts):
+            numbered: list[_Sets] = []
+
+            def similar(one: int, others: np.ndarray) -> np.ndarray:
+                if not numbered:  # Most tiles are small; without a pair to compare their shingles are not numbered.
+                    numbered.append(_Sets([sets[k] for k in text_of[at]]))
+                return numbered[0].similarities(one, others) >= similarity
+
+            side = (own[at] != first[at]).astype(np.int8)
+            for one, other in _joining(bands[at], band[at], side, label[at], similar, least):
+                a.append(text_of[at[one]])
+                b.append(text_of[at[other]])
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+
+    asked = cut_lineage(rows.select("id").distinct())
+    sides = cut_lineage(_only(texts, asked).withColumn("size", F.octet_length("text").cast("long") + F.octet_length("counts")))
+    times = rows.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    size = times.join(sides.select("id", "size"), "id").agg(F.sum(F.col("times") * F.col("size"))).first()[0] or 0
+    deals = max(8 * rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / DEAL_BYTES))
+    deal = F.pmod(F.xxhash64("bucket", "first", "second"), F.lit(deals)).cast("int")
+    full = rows.join(sides.drop("size"), "id").withColumn("deal", deal)
+    return full.groupBy("deal").applyInArrow(compare, "a binary, b binary")
 
 
 def _links(texts: DataFrame, similarity: float, rounds: int) -> DataFrame:
@@ -502,7 +559,7 @@ def _links(texts: DataFrame, similarity: float, rounds: int) -> DataFrame:
     total = frequencies.texts
     chunks = cut_lineage(_chunks(texts))
     counted = _sketches(chunks, frequencies)
-    sketches = counted.select("id", "bands")
+    sketches = counted.select("id", "bands", F.octet_length("counts").alias("size"))
     spread = sketches.select("id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "id")
     members = cut_lineage(_several(spread.withColumn("class", F.col("id"))).distinct())
     # Only texts that meet another one in some bucket are looked at again.
@@ -511,24 +568,25 @@ def _links(texts: DataFrame, similarity: float, rounds: int) -> DataFrame:
     texts = cut_lineage(_only(chunks.select("id", "text"), met).dropDuplicates(["id"]).join(counts, "id"))
     links, classes = None, None
 
-    def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Adds the similar pairs to the links; returns what is left of ``rows`` across classes."""
+    def linked(found: DataFrame) -> bool:
+        """Adds the similar pairs to the links; whether there were any."""
         nonlocal links, classes
-        pairs, count = cut_lineage_counting(pairs)
-        found, count = cut_lineage_counting(_similar(pairs, texts, total, similarity)) if count else (None, 0)
-        if not count:
-            return rows
-        links = found if links is None else links.unionByName(found)
-        classes = component_labels(links)
-        merged = rows.drop("class").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
-        return cut_lineage(_several(merged))
+        found, count = cut_lineage_counting(found)
+        if count:
+            links = found if links is None else links.unionByName(found)
+            classes = component_labels(links)
+        return count > 0
 
     for turn in range(rounds):
-        members = verified(_leader_pairs(members, sketches, turn, similarity), members)
-    # Pairs that look clearly similar come first: classes they join need no further pairs.
-    rows, clear = _compared_rows(members, sketches, texts, total), (1 + similarity) / 2
-    rows = verified(_remaining_pairs(rows, math.ceil(HASHES * clear), math.floor(LONG_BITS * (1 - clear) / 2)), rows)
-    verified(_remaining_pairs(rows, least_agreement(similarity), most_differing(similarity)), rows)
+        pairs, count = cut_lineage_counting(_leader_pairs(members, sketches, turn, similarity))
+        if count and linked(_similar(pairs, texts, total, similarity)):
+            merged = members.drop("class").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+            members = cut_lineage(_several(merged))
+    least = least_agreement(similarity)
+    rows, count = cut_lineage_counting(_candidate_rows(members, sketches, least))
+    if count:
+        with shuffles_dropped(rows.sparkSession):
+            linked(_tile_links(rows, texts, total, similarity, least))
     if classes is None:
         classes = texts.sparkSession.createDataFrame([], "id binary, class binary")
     return classes

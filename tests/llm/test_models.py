@@ -115,6 +115,23 @@ def test_one_shared_band_is_enough_in_large_buckets(spark, monkeypatch, tile):
     assert {(r.class_id, r.class_rows) for r in found} == {(0, 10)}
 
 
+def test_links_of_a_large_group_grow_with_its_texts(spark, monkeypatch):
+    counts, real = [], near_duplicates.component_labels
+
+    def labels(links):
+        counts.append(links.count())
+        return real(links)
+
+    monkeypatch.setattr(near_duplicates, "component_labels", labels)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join([*base[:at], "changed", *base[at + 1 :]]) for at in range(0, 300, 8)]
+    rows = spark.createDataFrame(list(enumerate(texts)), TEXTS)
+    found = near_duplicates.near_duplicate_classes(rows, rounds=0).collect()
+    assert {(r.class_id, r.class_rows) for r in found} == {(0, len(texts))}
+    # All pairs are similar; a bucket needs fewer links than it has texts, and texts are in one for each band.
+    assert max(counts) < len(texts) * near_duplicates.BANDS < len(texts) * (len(texts) - 1) / 2
+
+
 def test_deduplicate_keeps_one_of_each(spark):
     rows = spark.createDataFrame([*copies(), *ODD], TEXTS)
     kept = [r.doc_id for r in near_duplicates.deduplicate(clashing(rows)).collect()]
