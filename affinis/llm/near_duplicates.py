@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm.components import component_labels
 from affinis.llm.frames import broadcast_if, fits, shuffles_dropped, without_clashes
-from affinis.llm.text import bounded, distinct, mix, rows_of, utf8, words
+from affinis.llm.text import bounded, mix, utf8, words
 from affinis.runtime import cut_lineage, cut_lineage_counting
 
 SHINGLE_WORDS = 5
@@ -105,14 +105,23 @@ def shingles(column: pa.Array, width: int = SHINGLE_WORDS) -> tuple[np.ndarray,
     n = len(hashes)
     if not n:
         return np.zeros(0, dtype=np.int64), hashes
-    total = np.zeros(n, dtype=_U64)
-    room = bounds[1:][rows_of(bounds)] - np.arange(n)  # words from here to the end of the row
-    for step in range(width):
-        inside = np.flatnonzero(room > step)
-        total[inside] = total[inside] * _U64(0x100000001B3) + hashes[inside + step]
-    short = size[rows_of(bounds)] < width
-    whole = (room >= width) | (short & (np.arange(n) == bounds[:-1][rows_of(bounds)]))
-    return rows_of(bounds)[whole], mix(total[whole])
+    base = _U64(0x100000001B3)
+    total = hashes.copy()
+    for step in range(1, min(width, n)):
+        total[: n - step] *= base
+        total[: n - step] += hashes[step:]
+    whole = np.ones(n, dtype=bool)
+    for step in range(1, width):  # words with fewer than ``width`` to the end of their row
+        whole[(bounds[1:] - step)[size >= step]] = False
+    short = np.flatnonzero((size > 0) & (size < width))
+    first = bounds[:-1][short]
+    one = hashes[first]
+    for step in range(1, width):
+        more = size[short] > step
+        one[more] = one[more] * base + hashes[first[more] + step]
+    total[first], whole[first] = one, True
+    count = np.where(size < width, np.minimum(size, 1), size - width + 1)
+    return np.repeat(np.arange(len(size)), count), mix(total[whole])
 
 
 def _counted_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,10 +129,12 @@ def _counted_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     row, key = shingles(column)
     if not len(row):
         return row, key, row
-    order = np.lexsort((key, row))
-    row, key = row[order], key[order]
     new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    new[1:] = row[1:] != row[:-1]
+    edges = np.append(np.flatnonzero(new), len(row)).tolist()
+    for start, stop in zip(edges[:-1], edges[1:], strict=True):
+        key[start:stop].sort()
+    new[1:] |= key[1:] != key[:-1]
     first = np.flatnonzero(new)
     return row[first], key[first], np.diff(np.append(first, len(row)))
 
@@ -142,8 +153,7 @@ def document_frequencies(texts: DataFrame) -> Frequencies:
     def count(batches):
         slots, seen = np.zeros(1 << SLOT_BITS, dtype=np.int64), 0
         for batch in bounded(batches, 0):
-            row, key = shingles(batch.column(0))
-            key = key[distinct(row, key)]
+            key = _counted_sets(batch.column(0))[1]
             slots += np.bincount((key >> _U64(64 - SLOT_BITS)).astype(np.int64), minlength=len(slots))
             seen += len(batch)
         used = [at for at, part in enumerate(slots.reshape(blocks, SLOT_BLOCK)) if part.any()]
