@@ -12,7 +12,7 @@ TEXTS = ["", None, "a", "a b", "a b c d", "a b c d e", "a a a a a a a", "x y x y
 
 
 def _plain(text):
-    hashes = words(pa.array([text]))[0].tolist()
+    hashes = words(pa.array([text], pa.string()))[0].tolist()
     runs = [hashes[at : at + 5] for at in range(max(1, len(hashes) - 4))] if hashes else []
     folded = []
     for run in runs:
