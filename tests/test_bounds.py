@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.operators import ranking, skew
+from affinis.operators import blocks, ranking, skew
 from affinis.operators.blocks import build_layout
 from affinis.plans import baseline, experiments
 from affinis.plans.prepare import prepare
@@ -42,6 +42,26 @@ def test_no_block_exceeds_its_bound(spark):
     layout.unpersist()
 
 
+def test_blocks_of_rows_of_few_pairs_need_no_cuts(spark):
+    """With blocks filled to the bound on average, hashing overfills half of them."""
+    pairs = spark.range(20_000 * 10).select((F.col("id") % 20_000).alias("user_id"), F.floor(F.col("id") / 20_000).alias("item_id"))
+    block_bytes = 20_000 * (8 * (8 + 1) + 64)
+    count, bound = blocks.block_count(200_000, 8, 1, block_bytes), blocks.pairs_per_block(8, block_bytes)
+    layout = build_layout(pairs, "user_id", "item_id", count, table_rows=200_000, block_pairs=bound)
+    assert bound == 20_000 and layout.cuts is None and layout.blocks <= 13
+    layout.unpersist()
+
+
+def test_blocks_of_the_baseline_grow_with_the_pairs_and_stay_on_disk(spark, monkeypatch):
+    data, given, plain = prepared_purchases(spark, FOLDER), [], baseline.ALS
+    monkeypatch.setattr(baseline, "ALS", lambda **settings: given.append(settings) or plain(**settings))
+    monkeypatch.setattr(baseline, "BLOCK_PAIRS", 100)
+    model = baseline.fit_baseline(data.train, 2, 1)
+    assert model.userFactors.count() == data.train.select("user_id").distinct().count()
+    assert given[0]["numUserBlocks"] == given[0]["numItemBlocks"] == -(-data.train.count() // 100) > 10
+    assert given[0]["intermediateStorageLevel"] == "DISK_ONLY"
+
+
 def test_rows_without_ids_are_no_interactions(spark):
     rows = [(None, "a", 5.0, 1), ("u", None, 5.0, 2), (None, None, 5.0, 3), ("u", "a", 5.0, 4), ("v", "b", 5.0, 5), ("v", "a", 5.0, 6)]
     scanned = scan_interactions(spark.createDataFrame(rows, ROWS), "user_raw", "item_raw", "rating", "ts")
